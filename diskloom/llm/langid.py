@@ -45,7 +45,9 @@ def load_pieces(path: str) -> list[bytes]:
     with open(path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
     pieces |= {bytes([b]) for b in range(256)}
-    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE)
+    # text is lower-cased and split into words first, so other pieces than these can't occur
+    usable = re.compile(rb" ?[^\x00-@A-Z\[-`{-\x7f]+|[\x00-\xff]", re.DOTALL)
+    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE and usable.fullmatch(p))
 
 
 def words_of(text: str) -> list[str]:
@@ -69,6 +71,75 @@ def forward(word: str, probability: dict[bytes, tuple[float, ...]], k: int) -> l
     return list(np.log(np.maximum(alpha[-1], 1e-300)))
 
 
+class Pieces:
+    """The pieces by a 64-bit hash of their bytes, so that all substrings of many words are looked up at once."""
+
+    BITS = 20
+
+    def __init__(self, pieces: list[bytes]):
+        h = np.array([self.hash_of(p) for p in pieces], np.uint64)
+        self.order = np.argsort(h)
+        self.keys = h[self.order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces share a hash")
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[self._slot(h)] = True
+
+    @staticmethod
+    def hash_of(piece: bytes) -> int:
+        h = 0
+        for b in piece:
+            h = (h * 0x9E3779B97F4A7C15 + b + 1) % (1 << 64)
+        return h
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def edges(self, flat: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece number) of every piece within its word; left: bytes from each place to its word's end."""
+        starts, lengths, numbers = [], [], []
+        at, h = np.arange(len(flat)), np.zeros(len(flat), np.uint64)
+        for n in range(1, LONGEST_PIECE + 1):
+            inside = left[at] >= n
+            at, h = at[inside], h[inside]
+            if not len(at):
+                break
+            h = h * np.uint64(0x9E3779B97F4A7C15) + flat[at + n - 1] + np.uint64(1)
+            maybe = np.flatnonzero(self.seen[self._slot(h)])
+            where = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+            ok = self.keys[where] == h[maybe]
+            starts.append(at[maybe[ok]])
+            numbers.append(self.order[where[ok]])
+            lengths.append(np.full(int(ok.sum()), n))
+        return np.concatenate(starts), np.concatenate(lengths), np.concatenate(numbers)
+
+
+def forward_all(words: list[str], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
+    """The results of forward() for many words: a row for each, a column for each language."""
+    coded = [b" " + w.encode("utf-8", "replace") for w in words]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    flat = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(coded)), sizes)
+    start, length, number = pieces.edges(flat, np.repeat(ends, sizes) - np.arange(len(flat)))
+    # word w's states are its byte places and one past them: state = place + w
+    first = ends - sizes
+    source = start + word[start]
+    target = source + length
+    step = start + length - first[word[start]]
+    order = np.lexsort((target, step))
+    source, target, number, step = source[order], target[order], number[order], step[order]
+    alpha = np.zeros((len(flat) + len(coded), probability.shape[1]))
+    alpha[first + np.arange(len(coded))] = 1.0
+    bounds = np.searchsorted(step, np.arange(1, int(sizes.max()) + 2))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if a < b:
+            into = target[a:b]
+            heads = np.flatnonzero(np.append(True, into[1:] != into[:-1]))
+            alpha[into[heads]] = np.add.reduceat(alpha[source[a:b]] * probability[number[a:b]], heads, axis=0)
+    return np.log(np.maximum(alpha[ends + np.arange(len(coded))], 1e-300))
+
+
 def expected_counts(word: str, n: float, p: dict[bytes, float], out: dict[bytes, float]) -> None:
     """Add n times the expected number of uses of each piece in a random segmentation of the word."""
     b = b" " + word.encode("utf-8", "replace")
@@ -158,7 +229,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        k, table = len(m.languages), m.by_piece()
+        k, pieces = len(m.languages), Pieces(m.pieces)
         known: dict[str, int] = {}
         logs = np.zeros((1024, max(k, 1)))
         for whole in batches:
@@ -175,9 +246,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     known, fresh = {}, set(flat)
                 if len(known) + len(fresh) > len(logs):
                     logs = np.vstack([logs, np.zeros((len(known) + len(fresh), max(k, 1)))])
-                for w in fresh:
-                    logs[len(known)] = forward(w, table, k)
-                    known[w] = len(known)
+                if fresh:
+                    new = list(fresh)
+                    logs[len(known) : len(known) + len(new)] = forward_all(new, pieces, m.probability)
+                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                 of = logs[np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))] if flat else np.zeros((0, max(k, 1)))
                 ends = np.cumsum(sizes)
                 langs, scores = [], []
