@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from diskloom.container.reader import Image
 from diskloom.errors import Unsupported
+from diskloom.fs.apfs import Apfs
 from diskloom.fs.base import FileSystem
+from diskloom.fs.btrfs import Btrfs
 from diskloom.fs.exfat import ExFat
 from diskloom.fs.ext4 import Ext4
 from diskloom.fs.fat import Fat
 from diskloom.fs.ntfs import Ntfs
+from diskloom.fs.xfs import Xfs
 from diskloom.partition.tables import Volume
 
-PARSERS: dict[str, type[FileSystem]] = {"FAT12": Fat, "FAT16": Fat, "FAT32": Fat, "EFI": Fat, "exFAT": ExFat, "NTFS": Ntfs, "ext4": Ext4, "ext3": Ext4, "ext2": Ext4}
+PARSERS: dict[str, type[FileSystem]] = {"FAT12": Fat, "FAT16": Fat, "FAT32": Fat, "EFI": Fat, "exFAT": ExFat, "NTFS": Ntfs, "ext4": Ext4, "ext3": Ext4, "ext2": Ext4, "XFS": Xfs, "Btrfs": Btrfs, "APFS": Apfs}
 DETECTION_ONLY = ("HFS+", "F2FS", "SquashFS", "ReFS", "BitLocker", "LUKS", "ZFS", "RAID", "JFS", "UFS", "LVM", "Swap", "GPT", "Unknown")
 
 

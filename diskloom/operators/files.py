@@ -21,14 +21,13 @@ from diskloom.sources.evidence import load
 
 EXTENT = "struct<logical_off:long,length:long,phys_off:long,kind:string,inline:binary>"
 NODES = (
-    "image_id string, part int, start_sector long, size_sectors long, fs_type string, file_id long, mode int, size long, mod_time_s long, access_time_s long, create_time_s long, "
+    "image_id string, part int, start_sector long, size_sectors long, fs_type string, root_id long, file_id long, mode int, size long, mod_time_s long, access_time_s long, create_time_s long, "
     f"is_hidden boolean, is_system boolean, is_readonly boolean, symlink_target string, codec string, extents array<{EXTENT}>, "
     "entries array<struct<name:string,name_raw:binary,child_id:long,is_dir:boolean>>, names array<struct<parent_id:long,name:string>>, error string"
 )
 KEY = ["image_id", "part"]
 #: A file is one cell only up to this size; larger ones are read in blocks.
 MAX_CELL = 256 << 20
-_ROOTS = {name: p.root for name, p in PARSERS.items()}
 
 
 def nodes(spark: SparkSession, path: str, partition: int | None = None, mode: str = "FAILFAST") -> DataFrame:
@@ -39,15 +38,15 @@ def nodes(spark: SparkSession, path: str, partition: int | None = None, mode: st
     plan = load(spark, path, "volumes").where(F.col("fs_type").isin(list(PARSERS)))
     if partition is not None:
         plan = plan.where(F.col("part") == max(partition, 0))
-    shares = plan.withColumn("share", F.explode(F.sequence(F.lit(0), F.greatest(F.col("shares"), F.lit(1)) - 1))).select("image_id", "part", "start_sector", "size_sectors", "fs_type", "share")
+    shares = plan.withColumn("share", F.explode(F.sequence(F.lit(0), F.greatest(F.col("shares"), F.lit(1)) - 1))).select("image_id", "part", "start_sector", "size_sectors", "fs_type", "root_id", "share")
 
     schema = _arrow(NODES)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, part, start, size, kind, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, part, start, size, kind, root, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows: list[dict] = []
-                head = {"image_id": path, "part": part, "start_sector": start, "size_sectors": size, "fs_type": kind}
+                head = {"image_id": path, "part": part, "start_sector": start, "size_sectors": size, "fs_type": kind, "root_id": root}
                 try:
                     with Image.open(path) as image:
                         for n in open_volume(image, start, size, kind).nodes(share):
@@ -107,10 +106,8 @@ def paths(found: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     One equi-join a level of the tree, each level written down before the next; the loop ends with the deepest
     directory, and at `depth` in a tree that loops.
     """
-    spark = found.sparkSession
     entries = materialize(dirents(found), "dirents")
-    roots = spark.createDataFrame(list(_ROOTS.items()), "fs_type string, parent_id long")
-    level = found.select(*KEY, "fs_type").distinct().join(F.broadcast(roots), "fs_type").select(*KEY, "parent_id", F.lit("").alias("parent_path"))
+    level = found.select(*KEY, "root_id").distinct().select(*KEY, F.col("root_id").alias("parent_id"), F.lit("").alias("parent_path"))
     levels: list[DataFrame] = []
     for _ in range(depth):
         below = level.join(entries, [*KEY, "parent_id"]).where(~((F.col("parent_id") == F.col("child_id")) & F.col("is_dir")))
@@ -153,6 +150,44 @@ def search(listed: DataFrame, root: str, predicate: Column) -> DataFrame:
     return listed.where(below & predicate)
 
 
+MAX_HOPS = 40
+
+
+def follow(listed: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+    """(image_id, part, link, path) of all links whose target exists: links are followed at every component.
+
+    All links advance together: in each round a path is split at its first component that is a link, which an
+    equi-join of prefixes finds, so the number of joins is that of the longest chain, not of links. Links that
+    loop, or point nowhere, have no row.
+    """
+    links = materialize(listed.where(F.col("symlink_target").isNotNull()).select(*KEY, F.col("path").alias("lp"), "parent_path", "symlink_target"), "links")
+    real = materialize(listed.where(F.col("symlink_target").isNull()).select(*KEY, "path"), "real")
+    absolute = F.when(F.col("symlink_target").startswith("/"), F.col("symlink_target")).otherwise(F.concat(F.col("parent_path"), F.lit("/"), F.col("symlink_target")))
+    state = links.select(*KEY, F.col("lp").alias("link"), resolved(absolute).alias("path"))
+    out: DataFrame | None = None
+    for _ in range(hops):
+        state = materialize(state, "follow")
+        done = state.join(real, [*KEY, "path"], "left_semi").select(*KEY, "link", "path")
+        out = done if out is None else out.unionByName(done)
+        left = state.join(real, [*KEY, "path"], "left_anti")
+        if not left.head(1):
+            break
+        parts = F.split("path", "/")
+        prefixes = left.withColumn("n", F.explode(F.sequence(F.lit(2), F.size(parts)))).withColumn("lp", F.array_join(F.slice(parts, F.lit(1), F.col("n")), "/"))
+        hit = prefixes.join(links, [*KEY, "lp"])
+        first = hit.groupBy(*KEY, "link", "path").agg(F.min_by(F.struct("lp", "parent_path", "symlink_target"), "n").alias("h")).select(*KEY, "link", "path", "h.*")
+        rest = F.expr("substring(path, length(lp) + 1)")
+        state = first.select(*KEY, "link", resolved(F.concat(absolute, rest)).alias("path"))
+    return out
+
+
+def resolved(path: Column) -> Column:
+    """A path without empty, `.` and `..` components; `..` at the root stays there."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def _pieces(volume: Volume, found: list[dict], start: int, end: int) -> Iterator[bytes]:
     """Bytes start to end of a file from its extents."""
     at = start

@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diskloom.build.apfs import build_apfs, lzvn_pack
+from diskloom.build.btrfs import build_btrfs
 from diskloom.build.disk import gpt_disk, mbr_disk
 from diskloom.build.ext4 import build_ext4
 from diskloom.build.fat import build_exfat, build_fat
 from diskloom.build.ntfs import build_ntfs
 from diskloom.build.tree import File
+from diskloom.build.xfs import build_xfs
 from diskloom.functions import binary
 from diskloom.operators import files as ops
 from diskloom.operators import media, partitions
@@ -194,6 +197,9 @@ BUILDERS: dict[str, tuple[Callable[[list[File]], bytes], int]] = {
     "exfat": (build_exfat, 0x07),
     "ntfs": (partial(build_ntfs, fragment=True), 0x07),
     "ext4": (build_ext4, 0x83),
+    "xfs": (build_xfs, 0x83),
+    "btrfs": (build_btrfs, 0x83),
+    "apfs": (build_apfs, 0xAF),
 }
 _path_sql = "'/' || lang || '/' || source || '/doc_' || doc_id || '.txt'"
 
@@ -315,11 +321,11 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("doc_id"), F.lag("mod_time_s").over(by).alias("previous"), F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
 
 
-@query("SELECT 'ntfs' AS fs, 'FIXTURE' AS label, 4096::BIGINT AS block_size UNION ALL SELECT 'ext4', 'FIXTURE', 4096 UNION ALL SELECT 'fat32', 'FIXTURE', 512 UNION ALL SELECT 'exfat', 'FIXTURE', 1024 UNION ALL SELECT 'fat16', 'FIXTURE', 4096")
+@query("SELECT 'ntfs' AS fs, 'FIXTURE' AS label, 4096::BIGINT AS block_size UNION ALL SELECT 'ext4', 'FIXTURE', 4096 UNION ALL SELECT 'fat32', 'FIXTURE', 512 UNION ALL SELECT 'exfat', 'FIXTURE', 1024 UNION ALL SELECT 'fat16', 'FIXTURE', 4096 UNION ALL SELECT 'xfs', 'FIXTURE', 4096 UNION ALL SELECT 'btrfs', 'FIXTURE', 4096 UNION ALL SELECT 'apfs', 'FIXTURE', 4096")
 def volume_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id < 3")
     out = None
-    for kind in ("ntfs", "ext4", "fat32", "exfat", "fat16"):
+    for kind in ("ntfs", "ext4", "fat32", "exfat", "fat16", "xfs", "btrfs", "apfs"):
         build, code = BUILDERS[kind]
         v = load(spark, volumes(spark, docs, build, "labels", code, shards=1), "volumes").select(F.lit(kind).alias("fs"), "label", "block_size")
         out = v if out is None else out.unionByName(v)
@@ -351,6 +357,57 @@ def symlink_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.content(ops.files(found, with_extents=True)).select("path", F.decode("data", "UTF-8").alias("target"), "size")
 
 
+_PACKED = [3, 4, 7, 8, 9, 10, 13, 14]
+
+
+def _decmpfs(rows: pd.DataFrame) -> bytes:
+    made = [File(f"p/d{r.doc_id}.txt", r.text.encode()) for r in rows.itertuples()]
+    # an attribute holds little, so odd types take short texts only
+    kinds = {f.path: k if k % 2 == 0 or len(f.data) <= 1500 else k + 1 for r, f in zip(rows.itertuples(), made, strict=True) for k in (_PACKED[r.doc_id % 8],)}
+    return mbr_disk([(0xAF, build_apfs(made, packed=kinds))])
+
+
+@query(f"SELECT '/p/d' || doc_id || '.txt' AS path, {_bytes} AS size, md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND {_bytes} > 0 AND doc_id % 10 = 4")
+def decmpfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed files of all kinds: zlib, LZVN and stored, in attributes and in resource streams."""
+    rows = table(spark, sf_dir, "documents").where("doc_id % 10 = 4 and octet_length(text) > 0").select("doc_id", "text", F.pmod(F.floor(F.col("doc_id") / 10), F.lit(16)).alias("k"))
+    found = ops.nodes(spark, images_of(spark, rows, "k", _decmpfs, "decmpfs"))
+    return ops.content(ops.files(found, with_extents=True)).select("path", "size", F.md5("data").alias("md5"))
+
+
+@query(f"SELECT doc_id, {_bytes} AS bytes, md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 5")
+def lzvn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts packed with LZVN and decoded again, as an Arrow function."""
+    from diskloom.fs.codecs import lzvn as unpack
+
+    @F.pandas_udf("binary")
+    def pack(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: lzvn_pack(t.encode()))
+
+    @F.pandas_udf("binary")
+    def decode(packed: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([unpack(p, n) for p, n in zip(packed, size, strict=True)])
+
+    docs = table(spark, sf_dir, "documents").where("text is not null and doc_id % 10 = 5").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), pack("text").alias("packed"))
+    return docs.select("doc_id", "bytes", F.md5(decode("packed", "bytes")).alias("md5"))
+
+
+def _looped(rows: pd.DataFrame) -> bytes:
+    made = [File(f"data/f{r.n_nationkey}", r.n_name.encode()) for r in rows.itertuples()]
+    made += [File(f"links/l{r.n_nationkey}", link=f"../data/f{r.n_nationkey}" if r.n_nationkey % 2 else f"/hop/h{r.n_nationkey}") for r in rows.itertuples()]
+    made += [File(f"hop/h{r.n_nationkey}", link=f"../data/./f{r.n_nationkey}") for r in rows.itertuples() if r.n_nationkey % 2 == 0]
+    return mbr_disk([(0x83, build_xfs(made))])
+
+
+@query("SELECT '/links/l' || n_nationkey AS link, '/data/f' || n_nationkey AS target, md5(n_name) AS md5 FROM nation")
+def symlink_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to links, followed over the listing of a volume."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.lit(0).alias("k"))
+    listed = ops.files(ops.nodes(spark, images_of(spark, rows, "k", _looped, "follow")), with_extents=True)
+    followed = ops.follow(listed).where("link like '/links/%'")
+    return ops.content(listed.join(followed, ["image_id", "part", "path"])).select("link", F.col("path").alias("target"), F.md5("data").alias("md5"))
+
+
 @query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS ntfs, (epoch(o_orderdate)::BIGINT // 2) * 2 AS dos, epoch(o_orderdate)::BIGINT AS xfs, epoch(o_orderdate)::BIGINT AS apfs FROM orders")
 def timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-disk times of four kinds and back to Unix seconds, in column expressions."""

@@ -33,7 +33,7 @@ SCHEMAS = {
     "probes": "image_id string, idx int, window binary",
     "partitions": "image_id string, idx int, start_sector long, size_sectors long, size_bytes long, type string, type_code short, type_name string, filesystem string",
     "schemes": "image_id string, scheme string",
-    "volumes": "image_id string, part int, start_sector long, size_sectors long, fs_type string, shares int, label string, block_size long, attrs map<string,string>, error string",
+    "volumes": "image_id string, part int, start_sector long, size_sectors long, fs_type string, shares int, root_id long, label string, block_size long, attrs map<string,string>, error string",
     "errors": "image_id string, error string",
 }
 CHUNKS_A_RANGE = 256
@@ -105,13 +105,13 @@ def _volumes(i: Image) -> Iterator[tuple]:
         if p.filesystem not in PARSERS:
             attrs = summary(p.filesystem, window) if len(window) > 1200 else {}
             found = raid(window)
-            yield (*row, 0, "", 0, attrs | ({"raid": found} if found else {}), f"no reader for {p.filesystem}")
+            yield (*row, 0, 0, "", 0, attrs | ({"raid": found} if found else {}), f"no reader for {p.filesystem}")
             continue
         try:
             fs = open_volume(i, p.start_sector, p.size_sectors, p.filesystem)
-            yield (*row, fs.shares(), fs.label(), fs.block_size(), {str(k): str(v) for k, v in fs.info().items()}, None)
+            yield (*row, fs.shares(), fs.root, fs.label(), fs.block_size(), {str(k): str(v) for k, v in fs.info().items()}, None)
         except (EvidenceError, ValueError, IndexError, KeyError) as e:
-            yield (*row, 0, "", 0, {}, f"{type(e).__name__}: {e}")
+            yield (*row, 0, 0, "", 0, {}, f"{type(e).__name__}: {e}")
 
 
 MAKERS: dict[str, Callable[[Image], Iterator[tuple]]] = {
