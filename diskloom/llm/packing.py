@@ -131,7 +131,7 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY)
         moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
         fill[source] -= moved
         fill[other] += moved
-        tried -= {source, other}
+        tried.clear()
     return [p for p in bins if p]
 
 
