@@ -6,7 +6,7 @@ HyperLogLog sketch of their sites, merged by aggregation; keys whose estimate is
 threshold get an exact distinct count. A boilerplate line stays in the document with the smallest id that holds
 it and is removed from all others.
 
-Scale: every shuffle but the last carries hashes only and is aggregated before it; a line that stands in a third
+Scale: text is read twice, to hash its lines and to cut them; every shuffle but the last carries hashes only and is aggregated before it; a line that stands in a third
 of all documents is met by a broadcast of heavy keys (at most 10,000 by construction, see common.spread_join).
 The last join moves each text once, by document id.
 
@@ -30,11 +30,12 @@ LG_K = 12
 
 def spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(boilerplate: k, sites, first; occurrences: id, k, first, n) for lines that may be boilerplate."""
-    lines = (
+    lines = materialize(
         docs.where(F.col(text_col).isNotNull())
         .select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.explode(F.split(F.col(text_col), "\n")).alias("line"))
         .where(F.length("line") >= min_chars)
-        .select("id", F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("site"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b"))
+        .select("id", F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("site"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b")),
+        "line-hashes",
     )
     keys = materialize(
         lines.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("site").alias("lo"), F.max("site").alias("hi")).where((F.col("n") >= min_sites) & ((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 1))).select("a", "b", "n", "first"),
@@ -64,7 +65,8 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others = occurrences.where(F.col("id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).select("id", "a", "b")
     gone = spread_join(others, by_a, "a", "weight", total).where(F.array_contains("bs", F.col("b")))
     per_doc = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
-    joined = docs.join(per_doc, F.col(id_col) == F.col("_id"), "left")
+    # the lists are the small side: hashing them spares sorting the texts
+    joined = docs.join(per_doc.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
     lines = F.split(F.col(text_col), "\n")
     left = F.filter(lines, lambda x: ~((F.length(x) >= min_chars) & F.array_contains("_gone", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))))
     touched = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
