@@ -177,7 +177,9 @@ class Image:
         self._files.clear()
 
     def _bytes(self, seg: int, offset: int, length: int) -> bytes:
-        """Up to length bytes of a segment file."""
+        """Up to length bytes of a segment file; none past its end."""
+        if not 0 <= offset < self.segments[seg].size:
+            return b""
         if seg not in self._files:
             self._files[seg] = open(self.segments[seg].path, "rb")
         f = self._files[seg]
@@ -235,13 +237,18 @@ class Image:
             except zlib.error as e:
                 raise EvidenceError(f"a header section can't be inflated: {e}") from e
         elif s.type in ("volume", "disk", "data") and body == 1052 and s.type != "data":
-            self.media.append(parse_media(self._bytes(s.seg, at, 1052)))
+            data = self._bytes(s.seg, at, 1052)
+            if len(data) < 1052:
+                raise EvidenceError("a volume section is cut off")
+            self.media.append(parse_media(data))
         elif s.type == "sectors":
             pairs.append(s)
         elif s.type == "table":
             if body < 24:
                 raise EvidenceError("a table section has no room for its header")
             head = self._bytes(s.seg, at, 24)
+            if len(head) < 24:
+                raise EvidenceError("a table section is cut off")
             told, base = struct.unpack_from("<I", head, 0)[0], struct.unpack_from("<Q", head, 8)[0]
             room = (body - 24) // 4
             count = told if 0 < told <= room else max(0, (body - 28) // 4)
@@ -254,6 +261,8 @@ class Image:
             tables.append(Table(s.seg, s.idx, base, np.frombuffer(data, "<u4"), end))
         elif s.type == "digest" and body >= 36:
             d = self._bytes(s.seg, at, 36)
+            if len(d) < 36:
+                raise EvidenceError("a digest section is cut off")
             self.stored_md5, self.stored_sha1 = d[:16], d[16:36]
         elif s.type == "hash" and body >= 16:
             self.stored_md5 = self._bytes(s.seg, at, 16)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,7 +55,7 @@ def nodes(spark: SparkSession, path: str, partition: int | None = None, mode: st
                             if len(rows) == 2000:
                                 yield pa.RecordBatch.from_pylist(rows, schema)
                                 rows = []
-                except (EvidenceError, ValueError, IndexError, KeyError) as e:
+                except (EvidenceError, ValueError, IndexError, KeyError, struct.error) as e:
                     if mode.upper() != "PERMISSIVE":
                         raise EvidenceError(f"{path}, partition {part}: {e}") from e
                     rows.append(head | {"error": f"{type(e).__name__}: {e}"})

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import glob
 import os
+import struct
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
@@ -110,7 +111,7 @@ def _volumes(i: Image) -> Iterator[tuple]:
         try:
             fs = open_volume(i, p.start_sector, p.size_sectors, p.filesystem)
             yield (*row, fs.shares(), fs.root, fs.label(), fs.block_size(), {str(k): str(v) for k, v in fs.info().items()}, None)
-        except (EvidenceError, ValueError, IndexError, KeyError) as e:
+        except (EvidenceError, ValueError, IndexError, KeyError, struct.error) as e:
             yield (*row, 0, 0, "", 0, {}, f"{type(e).__name__}: {e}")
 
 
