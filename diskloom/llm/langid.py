@@ -239,6 +239,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 flat, sizes = [], []
                 for text in texts:
                     found = words_of(text) if text and k else []
+                    # a run may consist of numerals that are no digits: that is no letter
+                    if found and not any(c.isalpha() for w in found for c in w):
+                        found = []
                     sizes.append(len(found))
                     flat += found
                 fresh = set(flat).difference(known)

@@ -63,7 +63,7 @@ def test_langid_held_out(spark, prose):
 
 def test_langid_edges(spark, prose):
     texts, langs = prose
-    docs = make(spark, [*texts, None, "", "123 !!", "the river " * 30_000, texts[0]], [*langs, "en", "en", "fr", None, "en"])
+    docs = make(spark, [*texts, None, "", "123 !! ½²", "the river " * 30_000, texts[0]], [*langs, "en", "en", "fr", None, "en"])
     docs = docs.unionByName(spark.createDataFrame([(None, "the house", "en", None, None, None)], DOCS))
     got = langid.identify(docs).collect()
     by = {r["doc_id"]: r for r in got}
