@@ -144,11 +144,14 @@ def stat(listed: DataFrame, path: str) -> DataFrame:
     return listed.where(F.col("path") == normalise(path))
 
 
-def search(listed: DataFrame, root: str, predicate: Column) -> DataFrame:
-    """All entries below root that meet the predicate, directories too."""
+def search(listed: DataFrame, root: str, predicate: Column, max_results: int | None = None) -> DataFrame:
+    """All entries below root that meet the predicate, directories too. More than max_results is an error, not a cut."""
     root = normalise(root)
     below = F.lit(True) if root == "/" else F.startswith(F.col("path"), F.lit(root + "/"))
-    return listed.where(below & predicate)
+    found = listed.where(below & predicate)
+    if max_results is not None and found.limit(max_results + 1).count() > max_results:
+        raise EvidenceError(f"a search has more than {max_results} results")
+    return found
 
 
 MAX_HOPS = 40
@@ -273,8 +276,14 @@ def regular(listed: DataFrame) -> DataFrame:
     return listed.where(~is_dir(F.col("mode")))
 
 
-def content(listed: DataFrame, max_cell: int = MAX_CELL) -> DataFrame:
-    """Whole files as cells; a larger file than max_cell fails the query (use blocks). listed: files(..., with_extents=True)."""
+def content(listed: DataFrame, max_cell: int = MAX_CELL, strict: bool = True) -> DataFrame:
+    """Whole files as cells; a larger file than max_cell fails the query (use blocks). listed: files(..., with_extents=True).
+
+    strict: a whole ext4 file with a hole is an error, as usual readers have it; blocks, ranges and hashes give zeros.
+    """
+    if strict:
+        holes = F.exists("extents", lambda e: e["kind"] == "hole") & (F.col("fs_type") == "ext4")
+        listed = listed.withColumn("error", F.when(holes & F.col("error").isNull(), F.concat(F.lit("a hole in "), F.col("file_id").cast("string"))).otherwise(F.col("error")))
     sized = regular(listed).withColumn("offset", F.lit(0).cast("long")).withColumn("length", F.when(F.col("size") <= max_cell, F.col("size")).otherwise(F.raise_error(F.lit("a file is too large for one cell; read it in blocks")).cast("long")))
     return read_slices(_near(sized)).drop("offset", "length")
 

@@ -107,7 +107,19 @@ def test_content_rules(spark, folder):
     assert {p: bytes(d) for p, d in whole.items() if d} == cut
     assert bytes(whole["/l"]) == b"d1/f1.txt"
     assert {r["link"]: r["path"] for r in ops.follow(listed).collect()} == {"/l": "/d1/f1.txt"}
-    assert ops.search(listed, "/d1", F.lit(True)).count() == 13
+    assert ops.search(listed, "/d1", F.lit(True)).count() == 13 == ops.search(listed, "/d1", F.lit(True), 13).count()
+    with pytest.raises(EvidenceError, match="more than 12"):
+        ops.search(listed, "/d1", F.lit(True), 12)
+
+
+def test_holes_of_whole_files(spark, tmp_path):
+    write(f"{tmp_path}/h.E01", mbr_disk([(0x83, build_ext4([File("s", parts=[(4096, b"x")], size=5000)]))]))
+    listed = ops.files(ops.nodes(spark, str(tmp_path)), with_extents=True)
+    with pytest.raises(Exception, match="a hole in"):
+        ops.content(listed).collect()
+    want = bytes(4096) + b"x" + bytes(903)
+    assert bytes(ops.content(listed, strict=False).first()["data"]) == want
+    assert bytes(ops.file_ranges(listed, F.lit(4000), F.lit(200)).first()["data"]) == want[4000:4200]
 
 
 def test_partition_schemes(tmp_path):
