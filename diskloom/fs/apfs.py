@@ -120,6 +120,19 @@ class Apfs(FileSystem):
         for oid, value in inodes.items():
             yield self._node(oid, value, entries.get(oid, []), attributes.get(oid, {}), extents)
 
+    def attributes(self) -> Iterator[tuple[int, str, bytes | None, int | None, int | None]]:
+        """(file id, name, value, stream id, stream size) of all extended attributes; streamed ones have no value here."""
+        for key, value in self._records(self.tree, self.names):
+            head = struct.unpack_from("<Q", key, 0)[0]
+            if head >> 60 == XATTR:
+                name = key[10 : 10 + struct.unpack_from("<H", key, 8)[0]].rstrip(b"\0").decode("utf-8", "replace")
+                flags, length = struct.unpack_from("<HH", value, 0)
+                body = value[4 : 4 + length]
+                if flags & 1:
+                    yield head & LOW, name, None, *struct.unpack_from("<QQ", body, 0)
+                else:
+                    yield head & LOW, name, body, None, None
+
     @staticmethod
     def _fields(value: bytes) -> dict[int, bytes]:
         if len(value) < 96:

@@ -21,7 +21,7 @@ from diskloom.functions import binary
 from diskloom.operators import files as ops
 from diskloom.operators import media, partitions
 from diskloom.partition.tables import LINUX_GUID
-from diskloom.plans.evidence import BASE_TIME, images_of, raw_disks, shard_number, table, volumes
+from diskloom.plans.evidence import BASE_TIME, images_of, raw_disks, shard_number, shards_of, table, volumes
 from diskloom.sources.evidence import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,14 +59,14 @@ VARIANTS = [
 ]
 
 
-@query("SELECT v.variant, count(*) AS docs, sum(" + _bytes + ") AS bytes, bit_xor(hash_low) AS mark FROM (SELECT *, ('0x' || substr(md5(text), 1, 8))::BIGINT AS hash_low FROM documents WHERE text IS NOT NULL AND doc_id % 8 = 3) CROSS JOIN (VALUES " + ", ".join(f"('{v}')" for v, _ in VARIANTS) + ") v(variant) GROUP BY v.variant")
+@query("SELECT v.variant, count(*) AS docs, sum(" + _bytes + ") AS bytes, bit_xor(hash_low) AS mark FROM (SELECT *, ('0x' || substr(md5(text), 1, 8))::BIGINT AS hash_low FROM documents WHERE text IS NOT NULL) CROSS JOIN (VALUES " + ", ".join(f"('{v}')" for v, _ in VARIANTS) + ") v(variant) GROUP BY v.variant")
 def container_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents through every layout of the container."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 8 = 3")
+    docs = table(spark, sf_dir, "documents")
     out = None
     for name, options in VARIANTS:
-        _, plan = raw_disks(spark, docs, "matrix", shards=1, **options)
-        got = media.read_ranges(plan.sortWithinPartitions("lba")).select(F.md5(F.expr("substring(data, 1, cast(bytes as int))")).alias("md5"), "bytes")
+        _, plan = raw_disks(spark, docs, "matrix", **options)
+        got = media.read_ranges(plan.repartitionByRange("image_id", "lba").sortWithinPartitions("image_id", "lba")).select(F.md5(F.expr("substring(data, 1, cast(bytes as int))")).alias("md5"), "bytes")
         mark = F.conv(F.substring("md5", 1, 8), 16, 10).cast("long")
         one = got.agg(F.count("*").alias("docs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.bit_xor(mark).alias("mark")).select(F.lit(name).alias("variant"), "docs", "bytes", "mark")
         out = one if out is None else out.unionByName(one)
@@ -263,11 +263,11 @@ def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.blocks(listed, 4096).where(F.octet_length("data") > 0).select("path", "block_no")
 
 
-@query(f"SELECT doc_id, {_bytes} AS size, md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 7")
+@query(f"SELECT doc_id, {_bytes} AS size, md5(text) AS md5 FROM documents WHERE text IS NOT NULL")
 def open_by_handle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content by file id alone: paths serve only to name the result."""
     found = _found(spark, sf_dir, "ntfs")
-    wanted = found.select("image_id", "part", "file_id", F.explode("names").alias("n")).withColumn("doc_id", F.regexp_extract("n.name", r"^doc_(\d+)\.txt$", 1)).where("doc_id <> ''").withColumn("doc_id", F.col("doc_id").try_cast("long")).where("doc_id % 50 = 7").select("image_id", "part", "file_id", "doc_id")
+    wanted = found.select("image_id", "part", "file_id", F.explode("names").alias("n")).withColumn("doc_id", F.regexp_extract("n.name", r"^doc_(\d+)\.txt$", 1)).where("doc_id <> ''").withColumn("doc_id", F.col("doc_id").try_cast("long")).select("image_id", "part", "file_id", "doc_id")
     opened = found.join(wanted, ["image_id", "part", "file_id"])
     return ops.content(opened).select("doc_id", "size", F.md5("data").alias("md5"))
 
@@ -284,11 +284,11 @@ def list_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.list_dir(ops.files(_found(spark, sf_dir, "exfat")), "fr\\src3").select("name", "size", "is_dir")
 
 
-@query(f"SELECT {_path_sql} AS path, {_bytes} AS size, 33188 AS mode, {BASE_TIME} + 2 * doc_id AS mod_time_s FROM documents WHERE text IS NOT NULL AND doc_id = 42")
+@query(f"SELECT {_path_sql} AS path, {_bytes} AS size, 33188 AS mode, {BASE_TIME} + 2 * doc_id AS mod_time_s FROM documents WHERE text IS NOT NULL")
 def stat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = ops.files(_found(spark, sf_dir, "ext4"))
-    one = table(spark, sf_dir, "documents").where("doc_id = 42").select(F.concat_ws("/", F.lit(""), "lang", "source", F.lit("doc_42.txt")).alias("path"))
-    return listed.join(F.broadcast(one), "path").select("path", "size", "mode", "mod_time_s")
+    wanted = table(spark, sf_dir, "documents").where("text is not null").select(F.concat_ws("/", F.lit(""), "lang", "source", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))).alias("path"))
+    return listed.join(wanted, "path").select("path", "size", "mode", "mod_time_s")
 
 
 @query(f"SELECT lang, source, count(*) AS files, sum({_bytes})::BIGINT AS bytes FROM documents WHERE text IS NOT NULL GROUP BY ROLLUP (lang, source)")
@@ -323,24 +323,25 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'ntfs' AS fs, 'FIXTURE' AS label, 4096::BIGINT AS block_size UNION ALL SELECT 'ext4', 'FIXTURE', 4096 UNION ALL SELECT 'fat32', 'FIXTURE', 512 UNION ALL SELECT 'exfat', 'FIXTURE', 1024 UNION ALL SELECT 'fat16', 'FIXTURE', 4096 UNION ALL SELECT 'xfs', 'FIXTURE', 4096 UNION ALL SELECT 'btrfs', 'FIXTURE', 4096 UNION ALL SELECT 'apfs', 'FIXTURE', 4096")
 def volume_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id < 3")
+    docs = table(spark, sf_dir, "documents")
     out = None
     for kind in ("ntfs", "ext4", "fat32", "exfat", "fat16", "xfs", "btrfs", "apfs"):
         build, code = BUILDERS[kind]
-        v = load(spark, volumes(spark, docs, build, "labels", code, shards=1), "volumes").select(F.lit(kind).alias("fs"), "label", "block_size")
+        v = load(spark, volumes(spark, docs, build, "labels", code), "volumes").select(F.lit(kind).alias("fs"), "label", "block_size").distinct()
         out = v if out is None else out.unionByName(v)
     return out
 
 
 def _sparse(rows: pd.DataFrame) -> bytes:
-    made = [File(f"sparse/f{r.o_orderkey}.bin", parts=[(8192, b"x" * (1 + r.o_orderkey % 4096)), (65536, b"tail")], size=65540) for r in rows.itertuples()]
+    made = [File(f"sparse/f{r.c_custkey}.bin", parts=[(8192, b"x" * (1 + r.c_custkey % 4096)), (65536, b"tail")], size=65540) for r in rows.itertuples()]
     return mbr_disk([(0x83, build_ext4(made))])
 
 
-@query("SELECT '/sparse/f' || o_orderkey || '.bin' AS path, md5(repeat(chr(0), 8192) || repeat('x', (1 + o_orderkey % 4096)::INT) || repeat(chr(0), (65536 - 8192 - 1 - o_orderkey % 4096)::INT) || 'tail') AS md5 FROM orders WHERE o_custkey % 1000 = 1")
+@query("SELECT '/sparse/f' || c_custkey || '.bin' AS path, md5(repeat(chr(0), 8192) || repeat('x', (1 + c_custkey % 4096)::INT) || repeat(chr(0), (65536 - 8192 - 1 - c_custkey % 4096)::INT) || 'tail') AS md5 FROM customer")
 def sparse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holes on the disk read as zeros."""
-    rows = table(spark, sf_dir, "orders").where("o_custkey % 1000 = 1").select("o_orderkey", F.pmod("o_orderkey", F.lit(4)).alias("k"))
+    rows = table(spark, sf_dir, "customer")
+    rows = rows.select("c_custkey", F.pmod("c_custkey", F.lit(max(4, rows.count() // 2000))).alias("k"))
     found = ops.nodes(spark, images_of(spark, rows, "k", _sparse, "sparse"))
     return ops.manifest(ops.files(found, with_extents=True)).select("path", "md5")
 
@@ -363,19 +364,20 @@ _PACKED = [3, 4, 7, 8, 9, 10, 13, 14]
 def _decmpfs(rows: pd.DataFrame) -> bytes:
     made = [File(f"p/d{r.doc_id}.txt", r.text.encode()) for r in rows.itertuples()]
     # an attribute holds little, so odd types take short texts only
-    kinds = {f.path: k if k % 2 == 0 or len(f.data) <= 1500 else k + 1 for r, f in zip(rows.itertuples(), made, strict=True) for k in (_PACKED[r.doc_id % 8],)}
+    kinds = {f.path: k if k % 2 == 0 or len(f.data) <= 1500 else k + 1 for r, f in zip(rows.itertuples(), made, strict=True) for k in (_PACKED[r.doc_id // 4 % 8],)}
     return mbr_disk([(0xAF, build_apfs(made, packed=kinds))])
 
 
-@query(f"SELECT '/p/d' || doc_id || '.txt' AS path, {_bytes} AS size, md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND {_bytes} > 0 AND doc_id % 10 = 4")
+@query(f"SELECT '/p/d' || doc_id || '.txt' AS path, {_bytes} AS size, md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND {_bytes} > 0")
 def decmpfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed files of all kinds: zlib, LZVN and stored, in attributes and in resource streams."""
-    rows = table(spark, sf_dir, "documents").where("doc_id % 10 = 4 and octet_length(text) > 0").select("doc_id", "text", F.pmod(F.floor(F.col("doc_id") / 10), F.lit(16)).alias("k"))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.where("octet_length(text) > 0").select("doc_id", "text", F.pmod("doc_id", F.lit(shards_of(docs))).alias("k"))
     found = ops.nodes(spark, images_of(spark, rows, "k", _decmpfs, "decmpfs"))
     return ops.content(ops.files(found, with_extents=True)).select("path", "size", F.md5("data").alias("md5"))
 
 
-@query(f"SELECT doc_id, {_bytes} AS bytes, md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 5")
+@query(f"SELECT doc_id, {_bytes} AS bytes, md5(text) AS md5 FROM documents WHERE text IS NOT NULL")
 def lzvn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts packed with LZVN and decoded again, as an Arrow function."""
     from diskloom.fs.codecs import lzvn as unpack
@@ -388,7 +390,7 @@ def lzvn(spark: SparkSession, sf_dir: str) -> DataFrame:
     def decode(packed: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series([unpack(p, n) for p, n in zip(packed, size, strict=True)])
 
-    docs = table(spark, sf_dir, "documents").where("text is not null and doc_id % 10 = 5").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), pack("text").alias("packed"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), pack("text").alias("packed"))
     return docs.select("doc_id", "bytes", F.md5(decode("packed", "bytes")).alias("md5"))
 
 

@@ -225,3 +225,20 @@ def test_landing_stream(spark, folder, tmp_path):
     q.stop()
     rows = spark.sql("SELECT filesystem, error FROM landed").collect()
     assert sorted(r["filesystem"] for r in rows if r["error"] is None) == ["EFI", "FAT16", "ext4", "ext4"] and sum(r["error"] is not None for r in rows) == 1
+
+
+def test_raw_records(spark, tmp_path):
+    from diskloom.build.apfs import build_apfs
+    from diskloom.build.btrfs import build_btrfs
+    from diskloom.operators.records import records
+
+    few = [File("a/x.txt", b"x" * 9000, 5), File("y", link="a/x.txt"), File("z", b"packed " * 100)]
+    write(f"{tmp_path}/r.E01", mbr_disk([(0xAF, build_apfs(few, packed={"z": 4})), (0x83, build_btrfs(few)), (0x06, build_fat(few[:1], 16))]))
+    names = {(r["name"], r["value"] is None) for r in records(spark, str(tmp_path), "xattrs").collect()}
+    assert names == {("com.apple.fs.symlink", False), ("com.apple.decmpfs", False), ("com.apple.ResourceFork", True)}
+    assert {r["type"]: r["n"] for r in records(spark, str(tmp_path), "btree_items").groupBy("type").agg(F.count("*").alias("n")).collect()}[1] == 5
+    assert records(spark, str(tmp_path), "omap").where("map = 'container'").count() == 1
+    chain = {r["cluster"]: r["next"] for r in records(spark, str(tmp_path), "fat").collect()}
+    assert sum(v >= 0xFFF8 for v in chain.values()) == 2
+    with pytest.raises(EvidenceError):
+        records(spark, str(tmp_path), "nothing")
