@@ -10,6 +10,8 @@ from diskloom.errors import EvidenceError, Unsupported
 from diskloom.fs.base import DIRECTORY, SYMLINK, Entry, Extent, FileSystem, Node, fit
 
 MAX_LEVEL = 8
+#: Leaves of the file tree that one task scans.
+LEAVES_A_SHARE = 1024
 INODE, DIR_ITEM, DIR_INDEX, DATA, ROOT, CHUNK = 1, 84, 96, 108, 132, 228
 
 
@@ -70,11 +72,28 @@ class Btrfs(FileSystem):
             logical, length = logical + n, length - n
         return out
 
-    def items(self, logical: int, level: int = 0) -> Iterator[tuple[tuple[int, int, int], bytes]]:
+    def _node_bytes(self, logical: int) -> tuple[bytes, int, int]:
+        """(bytes, entries, level) of a tree node."""
         b = b"".join(self.volume.read(o, n) for o, n in self.place(logical, self.node_size))
-        if level > MAX_LEVEL or struct.unpack_from("<Q", b, 48)[0] != logical:
+        if struct.unpack_from("<Q", b, 48)[0] != logical:
             raise EvidenceError(f"a tree node at {logical} is damaged")
-        n, depth = struct.unpack_from("<IB", b, 96)
+        return b, *struct.unpack_from("<IB", b, 96)
+
+    def leaves(self, logical: int, level: int = 0) -> list[int]:
+        """Addresses of a tree's leaves in key order, from its inner nodes alone."""
+        if level > MAX_LEVEL:
+            raise EvidenceError("a tree is too deep")
+        b, n, depth = self._node_bytes(logical)
+        below = [struct.unpack_from("<Q", b, 101 + 33 * k + 17)[0] for k in range(n)] if depth else [logical]
+        return below if depth <= 1 else [x for p in below for x in self.leaves(p, level + 1)]
+
+    def shares(self) -> int:
+        return max(1, -(-len(self.leaves(self.tree)) // LEAVES_A_SHARE))
+
+    def items(self, logical: int, level: int = 0) -> Iterator[tuple[tuple[int, int, int], bytes]]:
+        if level > MAX_LEVEL:
+            raise EvidenceError("a tree is too deep")
+        b, n, depth = self._node_bytes(logical)
         for k in range(n):
             if depth:
                 yield from self.items(struct.unpack_from("<Q", b, 101 + 33 * k + 17)[0], level + 1)
@@ -85,13 +104,19 @@ class Btrfs(FileSystem):
                 yield (o, kind, offset), b[101 + at : 101 + at + size]
 
     def nodes(self, share: int = 0) -> Iterator[Node]:
+        """Nodes whose first item lies in the share's leaves; the last one's items are followed into the next leaves."""
         node: Node | None = None
         found: list[Extent] = []
         names: set[bytes] = set()
-        for (o, kind, offset), d in self.items(self.tree):
+        leaves = self.leaves(self.tree)
+        own = (share + 1) * LEAVES_A_SHARE
+        walk = ((k, i) for k in range(share * LEAVES_A_SHARE, len(leaves)) for i in self.items(leaves[k]))
+        for k, ((o, kind, offset), d) in walk:
             if node is not None and o != node.id:
                 yield self._finish(node, found)
                 node = None
+            if node is None and k >= own:
+                return
             if kind == INODE:
                 size, mode = struct.unpack_from("<Q", d, 16)[0], struct.unpack_from("<I", d, 52)[0]
                 a, c, m = (struct.unpack_from("<q", d, at)[0] for at in (112, 124, 136))

@@ -96,6 +96,20 @@ def test_builder_to_parser(kind):
         assert data == bytes(want) and node.size == f.length and node.mtime == f.mtime
 
 
+@pytest.mark.parametrize("kind,name,size", [("Btrfs", "LEAVES_A_SHARE", 1), ("NTFS", "RECORDS_A_SHARE", 7), ("ext4", "GROUPS_A_SHARE", 1)])
+def test_shares_make_up_the_whole(kind, name, size, monkeypatch):
+    import importlib
+
+    build, files = CASES[kind]
+    image = build(files)
+    whole = {p: d for p, (_, d) in contents(PARSERS[kind](Bytes(image))).items()}
+    monkeypatch.setattr(importlib.import_module(PARSERS[kind].__module__), name, size)
+    fs = PARSERS[kind](Bytes(image))
+    ids = [n.id for s in range(fs.shares()) for n in fs.nodes(s)]
+    assert len(ids) == len(set(ids)) and (kind == "ext4" or fs.shares() > 3)
+    assert {p: d for p, (_, d) in contents(fs).items()} == whole
+
+
 @pytest.mark.parametrize("kind", CASES)
 def test_damage_is_an_error(kind):
     build, _ = CASES[kind]
