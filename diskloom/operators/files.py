@@ -15,7 +15,7 @@ from diskloom.errors import EvidenceError
 from diskloom.fs.base import MAX_DEPTH
 from diskloom.fs.codecs import decode as decode_codec
 from diskloom.fs.registry import PARSERS, open_volume
-from diskloom.operators.media import spread
+from diskloom.operators.media import in_order, spread
 from diskloom.partition.tables import Volume
 from diskloom.scratch import materialize
 from diskloom.sources.evidence import load
@@ -269,7 +269,7 @@ def read_slices(rows: DataFrame, hashes: bool = False) -> DataFrame:
 def _near(rows: DataFrame) -> DataFrame:
     """Rows in the order of their place on the disk, so that a task's cache of chunks serves neighbours."""
     first = F.coalesce(F.try_element_at(F.filter("extents", lambda e: e["kind"] == "data"), F.lit(1))["phys_off"], F.lit(-1))
-    return rows.withColumn("_at", first).repartitionByRange("image_id", "part", "_at").sortWithinPartitions("image_id", "part", "_at").drop("_at")
+    return in_order(rows.withColumn("_at", first), ["image_id", "part", "_at"]).drop("_at")
 
 
 def regular(listed: DataFrame) -> DataFrame:

@@ -18,9 +18,19 @@ SECTORS = "image_id string, chunk_no long, lba_start long, n_sectors int, data b
 BATCH = 32
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks share small rows that stand for much work: a number, as adaptive plans would join small partitions to one."""
+    return max(8, 3 * spark.sparkContext.defaultParallelism)
+
+
 def spread(plan: DataFrame, keys: list[str]) -> DataFrame:
     """Deal the small rows of a plan evenly over tasks; each stands for much work."""
-    return plan.repartition(*[F.col(k) for k in keys])
+    return plan.repartition(tasks(plan.sparkSession), *[F.col(k) for k in keys])
+
+
+def in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Deal rows out by ranges of their place, sorted, so that a task's cache of chunks serves neighbours."""
+    return rows.repartitionByRange(tasks(rows.sparkSession), *[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
 
 def sectors(spark: SparkSession, path: str, lba_start: int | None = None, lba_end: int | None = None) -> DataFrame:

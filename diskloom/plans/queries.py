@@ -48,7 +48,7 @@ _bytes = "octet_length(encode(text))"
 def sector_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document read back from its sectors."""
     _, plan = raw_disks(spark, table(spark, sf_dir, "documents"), "sectors")
-    got = media.read_ranges(plan.repartitionByRange("image_id", "lba").sortWithinPartitions("image_id", "lba"))
+    got = media.read_ranges(media.in_order(plan, ["image_id", "lba"]))
     return got.select("doc_id", "bytes", F.md5(F.expr("substring(data, 1, cast(bytes as int))")).alias("md5"))
 
 
@@ -66,7 +66,7 @@ def container_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, options in VARIANTS:
         _, plan = raw_disks(spark, docs, "matrix", **options)
-        got = media.read_ranges(plan.repartitionByRange("image_id", "lba").sortWithinPartitions("image_id", "lba")).select(F.md5(F.expr("substring(data, 1, cast(bytes as int))")).alias("md5"), "bytes")
+        got = media.read_ranges(media.in_order(plan, ["image_id", "lba"])).select(F.md5(F.expr("substring(data, 1, cast(bytes as int))")).alias("md5"), "bytes")
         mark = F.conv(F.substring("md5", 1, 8), 16, 10).cast("long")
         one = got.agg(F.count("*").alias("docs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.bit_xor(mark).alias("mark")).select(F.lit(name).alias("variant"), "docs", "bytes", "mark")
         out = one if out is None else out.unionByName(one)
