@@ -38,6 +38,17 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+#: Rows that travel to a Python worker at once where each row holds a whole text.
+TEXT_ROWS = 1024
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small in this session: their buffers lie outside the heap and in the workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, tag)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diskloom.llm.common import materialize
+from diskloom.llm.common import materialize, text_batches
 
 CAPACITY, END = 1024, 2
 BLOCK_PIECES = 20_000
@@ -61,6 +61,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     """(id, piece, start, length, ids_crc32) of every piece."""
     import public_tokenizers
 
+    text_batches(docs.sparkSession)
     pattern = public_tokenizers.PATTERN
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary or default_vocabulary()))
     special = {"<|endoftext|>": 50256}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diskloom.llm.common import materialize
+from diskloom.llm.common import materialize, text_batches
 
 WIDTH = 6.0
 BLOCK_BYTES = 256_000_000
@@ -207,6 +207,7 @@ def models(counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[dict[s
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, lang, the base counts, log_ppl) of every row, as a written table."""
+    text_batches(docs.sparkSession)
     counts = materialize(count(docs, text_col, lang_col), "ngram-counts")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
