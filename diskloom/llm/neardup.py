@@ -6,8 +6,9 @@ directly, so every coordinate fills, and the first round that leaves no bin empt
 the Jaccard similarity with Chernoff-type concentration. Bands of coordinates give bucket keys.
 
 1. Documents with equal sets form a class, whose representative has the smallest id.
-2. Representatives sharing a bucket are candidates. In each bucket all are compared with its leader, the member that
-   shares most bucket places over all bands (the original of a group of copies), so a bucket costs its size.
+2. Representatives sharing a bucket are candidates. A bucket's leader is the member that shares most bucket places over
+   all bands (the original of a group of copies). Each document is compared with the most shared of its leaders, then
+   with its other leaders where they are in another component: a group of copies costs its size.
 3. Buckets that still hold several components are compared across components only. No partner is capped.
 4. All links are confirmed on full sets; components come from alternating large-star and small-star steps.
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diskloom.llm.common import materialize, spread_join
+from diskloom.llm.common import materialize, spread_join, text_batches
 
 BANDS, ROWS = 40, 6
 #: Pairs of one leader that are verified beside one copy of its set.
@@ -122,7 +123,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "h"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("shuffle_hash"), "id", "left_semi")
     return some.mapInArrow(make, f"id {kind}, h array<long>")
 
 
@@ -138,6 +139,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", common.alias("i"), F.size("ha").alias("na"), F.size("hb").alias("nb")).where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct()
 
 
+def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose ends have different components; a may be a key of very many pairs."""
+    load = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("w")).join(label, "id", "left").select(F.col("id").alias("a"), "w", F.coalesce("component", "id").alias("ca"))
+    load = materialize(load, "near-across")
+    met = spread_join(pairs, load, "a", "w", load.agg(F.sum("w")).first()[0] or 0)
+    both = met.join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return both.where(F.col("ca") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) of all ids in edges (a, b); component: the smallest id reachable. Large-star, small-star."""
 
@@ -172,6 +182,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs."""
+    text_batches(docs.sparkSession)
     marks = materialize(_signatures(docs, id_col, text_col, k), "near-signatures")
     named = marks.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = materialize(named.groupBy("fa", "fb").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.max("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
@@ -180,12 +191,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = sizes.agg(F.sum("w")).first()[0] or 0
     shared = materialize(spread_join(places, sizes, "key", "w", total), "near-places")
     fame = shared.groupBy("rep").agg(F.sum("size").alias("fame"))
-    leaders = materialize(shared.join(fame, "rep").groupBy("key").agg(F.count("*").alias("w"), F.max(F.struct("fame", "rep", "n")).alias("top")).select("key", "w", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n")), "near-leaders")
+    leaders = materialize(shared.join(fame, "rep").groupBy("key").agg(F.count("*").alias("w"), F.max(F.struct("fame", "rep", "n")).alias("top")).select("key", "w", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n"), F.col("top.fame").alias("lead_fame")), "near-leaders")
     close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    first = materialize(spread_join(shared, leaders, "key", "w", total).where((F.col("rep") != F.col("lead")) & close(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    led = spread_join(shared, leaders, "key", "w", total).where((F.col("rep") != F.col("lead")) & close(F.col("n"), F.col("lead_n")))
+    led = materialize(led.groupBy(F.col("lead").alias("a"), F.col("rep").alias("b")).agg(F.max("lead_fame").alias("fame")), "near-led")
     sets = materialize(_sets(docs, shared.select(F.col("rep").alias("id")).distinct(), id_col, text_col, k), "near-sets")
+    # first each document with its most shared leader only: that joins a group of copies at one pair a copy
+    first = materialize(led.groupBy("b").agg(F.max(F.struct("fame", "a")).alias("t")).select(F.col("t.a").alias("a"), "b"), "near-pairs")
     edges = materialize(_verify(first, sets, percent), "near-edges")
     label = materialize(connected(edges), "near-labels")
+    # then with other leaders, where that could still join two components
+    again = materialize(_across(led.select("a", "b").join(first, ["a", "b"], "left_anti"), label), "near-pairs")
+    more = materialize(_verify(again, sets, percent), "near-edges")
+    if more.head(1):
+        edges = edges.unionByName(more)
+        label = materialize(connected(edges), "near-labels")
     # what is left: pairs in one bucket but in different components
     lab = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     open_keys = lab.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("w")).where("lo <> hi").select("key", "w", F.lit(True).alias("open"))
@@ -193,11 +213,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = materialize(spread_join(lab, open_keys, "key", "w", open_keys.agg(F.sum("w")).first()[0] or 0).drop("open"), "near-rest")
     other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     cross = rest.join(other, "key").where((F.col("component") != F.col("cb")) & (F.col("rep") < F.col("b")) & close(F.col("n"), F.col("nb"))).select(F.col("rep").alias("a"), "b").distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = first.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = materialize(cross.join(tried, ["a", "b"], "left_anti"), "near-cross")
-    more = materialize(_verify(second, sets, percent), "near-edges")
-    if more.head(1):
-        label = materialize(connected(edges.unionByName(more)), "near-labels")
+    last = materialize(_verify(second, sets, percent), "near-edges")
+    if last.head(1):
+        label = materialize(connected(edges.unionByName(last)), "near-labels")
     labelled = classes.select("fa", "fb", "w", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     wanted = labelled.where((F.col("w") > 1) | (F.col("component") != F.col("rep")))
     by_fa = materialize(wanted.groupBy("fa").agg(F.sum("w").alias("w"), F.collect_list(F.struct("fb", "component")).alias("found")), "near-members")
@@ -214,7 +234,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """
     judged = components(docs, id_col, text_col, k, percent)
     gone = judged.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    # the ids are hashed, the texts are not sorted, and the plan is the same at every size
+    left = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
     repeated = materialize(judged.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).where("c > 1").select(id_col), "near-repeated")
     if not repeated.head(1):
         return left
