@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from diskloom.llm.common import text_batches
+
 Q, ERROR, MIN_CHARS = 8, 0.1, 40
 BLOCK_CHARS = 8_000_000
 #: A text is searched in parts of this many characters.
@@ -111,31 +113,48 @@ def align(a: np.ndarray, b: np.ndarray, lo: int, width: int, k: int) -> tuple[in
     src = slice(max(0, lo), max(0, min(len(b), lo + len(base))))
     base[src.start - lo : src.start - lo + max(0, src.stop - src.start)] = b[src]
     # a place before the text or after it is no place
-    d = np.where((lo + c >= 0) & (lo + c <= len(b)), 0, k + 1)
+    at = lo + c
+    inside = lo >= 0 and lo + len(a) + width <= len(b)
+    d = np.where((at >= 0) & (at <= len(b)), 0, k + 1)
+    far = np.full(width, k + 1)
+    skip = far + 1
     for i in range(1, len(a) + 1):
-        stay = d + (base[i - 1 : i - 1 + width] != a[i - 1])
-        skip = np.append(d[1:], k + 1) + 1
-        d = np.minimum(stay, skip)
-        d[(lo + i + c > len(b)) | (lo + i + c < 0)] = k + 1
-        d = np.minimum.accumulate(d - c) + c
-        d = np.minimum(d, k + 1)
-        if d.min() > k:
+        skip[:-1] = d[1:]
+        skip[:-1] += 1
+        d = d + (base[i - 1 : i - 1 + width] != a[i - 1])
+        np.minimum(d, skip, out=d)
+        if not inside:
+            d[(at + i > len(b)) | (at + i < 0)] = k + 1
+        d -= c
+        np.minimum.accumulate(d, out=d)
+        d += c
+        np.minimum(d, far, out=d)
+        if not i & 7 and d.min() > k:
             return k + 1, -1
-    d[(lo + len(a) + c > len(b))] = k + 1
+    d[at + len(a) > len(b)] = k + 1
     best = int(d.argmin())
-    return int(d[best]), lo + len(a) + best
+    return (int(d[best]), lo + len(a) + best) if d[best] <= k else (k + 1, -1)
 
 
 def matches(text: str | None, index: Index) -> list[tuple[int, int, int]]:
     """(item number, end in the normalised text, edits): the best occurrence of each item, the first of equals."""
     if not text or not index.ids:
         return []
-    whole = codes(normalise(text))
+    norm = normalise(text)
+    whole = codes(norm)
     reach = int((index.m + 4 * index.k + 8).max())
     best: dict[int, tuple[int, int]] = {}
     for start in range(0, max(1, len(whole) - reach), PART):
         c = whole[start : start + PART + reach]
+        verbatim: dict[int, int] = {}
         for item, band, _ in zip(*index.candidates(c), strict=True):
+            # a verbatim item needs no alignment, and nothing is better than its first place
+            place = verbatim.get(int(item))
+            if place is None:
+                place = verbatim[int(item)] = norm.find(index.texts[item], start, start + len(c))
+            if place >= 0:
+                best[int(item)] = min(best.get(int(item), (1, 0)), (0, place + len(index.texts[item])))
+                continue
             m, k = int(index.m[item]), int(index.k[item])
             lo = int(band) * (k + 1) - m - k
             edits, end = align(codes(index.texts[item]), c, lo, 2 * (k + 1) + 2 * k, k)
@@ -160,6 +179,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int,
 
 
 def _with(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, q: int, error: float, block_chars: int, min_chars: int) -> list[DataFrame]:
+    text_batches(docs.sparkSession)
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     id_kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -207,6 +227,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that contain no item, unchanged. The row itself is the id that the search carries, so nothing is joined."""
+    text_batches(docs.sparkSession)
     out = docs
     q, error = options.get("q", Q), options.get("error", ERROR)
     for block in blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("block_chars", BLOCK_CHARS), options.get("min_chars", MIN_CHARS)):
