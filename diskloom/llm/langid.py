@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diskloom.llm.common import materialize
+from diskloom.llm.common import materialize, text_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST_PIECE = 16
@@ -114,6 +114,15 @@ class Pieces:
         return np.concatenate(starts), np.concatenate(lengths), np.concatenate(numbers)
 
 
+class Model:
+    """Languages, pieces and the probability of each piece in each language."""
+
+    def __init__(self, languages: list[str], pieces: list[bytes], probability: np.ndarray):
+        self.languages, self.probability = languages, probability
+        # built once on the driver and broadcast, not by every task
+        self.pieces = Pieces(pieces)
+
+
 def forward_all(words: list[str], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
     """The results of forward() for many words: a row for each, a column for each language."""
     coded = [b" " + w.encode("utf-8", "replace") for w in words]
@@ -160,16 +169,6 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-class Model:
-    """Languages, pieces and the probability of each piece in each language."""
-
-    def __init__(self, languages: list[str], pieces: list[bytes], probability: np.ndarray):
-        self.languages, self.pieces, self.probability = languages, pieces, probability
-
-    def by_piece(self) -> dict[bytes, tuple[float, ...]]:
-        return {p: tuple(r) for p, r in zip(self.pieces, self.probability.tolist(), strict=True)}
-
-
 def smooth(counts: np.ndarray) -> np.ndarray:
     """Rows: pieces, columns: languages. Mixed with what all languages share and with a uniform share."""
     own = counts / np.maximum(counts.sum(axis=0), 1e-9)
@@ -180,6 +179,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     """Fit on about rows_per_language rows of each label, chosen by a hash of the id."""
     pieces = load_pieces(vocabulary or default_vocabulary())
     spark = labelled.sparkSession
+    text_batches(spark)
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l")).where(F.col("i").isNotNull() & F.col("l").isNotNull())
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -224,12 +224,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row; score is the posterior under equal priors."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        k, pieces = len(m.languages), Pieces(m.pieces)
+        k, pieces = len(m.languages), m.pieces
         known: dict[str, int] = {}
         logs = np.zeros((1024, max(k, 1)))
         for whole in batches:
