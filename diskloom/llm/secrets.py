@@ -36,23 +36,37 @@ GRID = 10_000
 FDR = 0.05
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda's variable is not computed again where it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
 def before(lengths: Column) -> Column:
-    """Sums of all earlier elements, by blocks of 64, so that long arrays don't cost their square."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    n = F.size(lengths)
-    blocks = F.when(n == 0, F.array().cast("array<array<int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / 64).cast("int"))), lambda b: F.slice(lengths, b * 64 + 1, 64)))
-    with_sums = F.transform(blocks, lambda b: F.struct(b.alias("b"), total(b).alias("s")))
-    return F.flatten(F.transform(with_sums, lambda x, i: F.transform(x["b"], lambda y, j: F.aggregate(F.slice(with_sums, F.lit(1), i), F.lit(0), lambda p, q: p + q["s"]) + total(F.slice(x["b"], F.lit(1), j)))))
+    """Sums of all earlier elements, by blocks of 64, so that long arrays don't cost their square. Not for empty arrays."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / 64).cast("int")), lambda b: F.slice(lengths, b * 64 + 1, 64))
+    with_sums = F.transform(blocks, lambda b: F.struct(b.alias("b"), _sum(b).alias("s")))
+
+    def shifted(w: Column) -> Column:
+        return F.flatten(F.transform(w, lambda x, i: let(F.aggregate(F.slice(w, F.lit(1), i), F.lit(0), lambda p, q: p + q["s"]), lambda base: F.transform(x["b"], lambda y, j: base + _sum(F.slice(x["b"], F.lit(1), j))))))
+
+    return let(with_sums, shifted)
 
 
 def spans(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<start, kind, end, value>> of all matches, in order."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
-    starts = F.zip_with(before(sizes), gaps, lambda b, g: b + F.length(g))
-    made = F.transform(found, lambda m, i: F.struct(F.element_at(starts, i + 1).alias("start"), F.lit(kind).alias("kind"), (F.element_at(starts, i + 1) + F.length(m)).alias("end"), m.alias("value")))
-    return F.when(text.rlike(pattern), made).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>"))
+
+    def build(parts: Column) -> Column:
+        found, gaps = parts["found"], parts["gaps"]
+        sizes = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+        starts = let(sizes, lambda x: F.zip_with(before(x), gaps, lambda b, g: b + F.length(g)))
+        return F.filter(F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + F.length(m)).alias("end"), m.alias("value"))), lambda x: x["value"].isNotNull())
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), let(parts, build)).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>"))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -75,33 +89,40 @@ def _normal_p(z: Column) -> Column:
 def battery(token: Column, encoding: Column) -> Column:
     """The token's p-value for randomness: 3 * min(p) of the three tests, at most 1."""
     alphabet = F.element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), encoding)
-    k = F.length(alphabet)
-    url_safe = F.translate(token, "-_", "+/")
-    at = F.transform(F.filter(F.split(url_safe, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
-    n = F.size(at)
-    groups = F.least(k, F.greatest(F.lit(2), F.floor(n / 5).cast("int")))
-    # a group's share of the alphabet need not be equal: expected counts follow it
-    bounds = lambda g: F.floor((g * k + groups - 1) / groups)
-    chi = F.aggregate(
-        F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(F.size(F.filter(at, lambda x: F.floor(x * groups / k) == g)).alias("o"), (n * (bounds(g + 1) - bounds(g)) / k).alias("e"))),
-        F.lit(0.0),
-        lambda s, c: s + (c["o"] - c["e"]) * (c["o"] - c["e"]) / c["e"],
-    )
-    df = F.greatest(groups - 1, F.lit(1))
-    z_chi = (F.pow(chi / df, F.lit(1.0 / 3)) - (1 - F.lit(2.0) / (9 * df))) / F.sqrt(F.lit(2.0) / (9 * df))
-    p_chi = 1 / (1 + F.exp(1.5976 * z_chi + 0.07056 * z_chi * z_chi * z_chi))
-    high = F.transform(at, lambda x: (x * 2 >= k).cast("int"))
-    n1 = F.aggregate(high, F.lit(0), lambda s, x: s + x)
-    n0 = n - n1
-    runs = 1 + F.aggregate(F.zip_with(F.slice(high, F.lit(1), n - 1), F.slice(high, F.lit(2), n - 1), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-    mean_runs = 1 + 2.0 * n1 * n0 / n
-    var_runs = F.greatest(2.0 * n1 * n0 * (2.0 * n1 * n0 - n) / (n * n * (n - 1.0)), F.lit(1e-9))
-    p_runs = F.when((n1 == 0) | (n0 == 0), F.lit(0.0)).otherwise(_normal_p((runs - mean_runs) / F.sqrt(var_runs)))
-    mean = F.aggregate(at, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(at, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    cov = F.aggregate(F.zip_with(F.slice(at, F.lit(1), n - 1), F.slice(at, F.lit(2), n - 1), lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda s, x: s + x)
-    p_serial = F.when(var <= 0, F.lit(0.0)).otherwise(_normal_p((cov / var + 1.0 / n) * F.sqrt(n.cast("double"))))
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+
+    def chi_squared(at: Column, n: Column, k: Column, groups: Column) -> Column:
+        # a group's share of the alphabet need not be equal: expected counts follow it
+        bounds = lambda g: F.floor((g * k + groups - 1) / groups)
+        cells = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(F.size(F.filter(at, lambda x: F.floor(x * groups / k) == g)).alias("o"), (n * (bounds(g + 1) - bounds(g)) / k).alias("e")))
+        chi = F.aggregate(cells, F.lit(0.0), lambda s, c: s + (c["o"] - c["e"]) * (c["o"] - c["e"]) / c["e"])
+        df = groups - 1
+        deviate = (F.pow(chi / df, F.lit(1.0 / 3)) - (1 - F.lit(2.0) / (9 * df))) / F.sqrt(F.lit(2.0) / (9 * df))
+        return let(deviate, lambda z: 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z)))
+
+    def runs_test(high: Column, n: Column, n1: Column) -> Column:
+        n0 = n - n1
+        runs = 1 + _sum(F.zip_with(F.slice(high, F.lit(1), n - 1), F.slice(high, F.lit(2), n - 1), lambda x, y: (x != y).cast("int")))
+        mean = 1 + 2.0 * n1 * n0 / n
+        var = F.greatest(2.0 * n1 * n0 * (2.0 * n1 * n0 - n) / (n * n * (n - 1.0)), F.lit(1e-9))
+        return F.when((n1 == 0) | (n0 == 0), F.lit(0.0)).otherwise(let((runs - mean) / F.sqrt(var), _normal_p))
+
+    def serial(at: Column, n: Column, mean: Column) -> Column:
+        var = F.aggregate(at, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+        cov = F.aggregate(F.zip_with(F.slice(at, F.lit(1), n - 1), F.slice(at, F.lit(2), n - 1), lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda s, x: s + x)
+        return let(var, lambda v: F.when(v <= 0, F.lit(0.0)).otherwise(let((cov / v + 1.0 / n) * F.sqrt(n.cast("double")), _normal_p)))
+
+    def tests(at: Column, k: Column) -> Column:
+        n = F.size(at)
+        groups = F.least(k, F.greatest(F.lit(2), F.floor(n / 5).cast("int")))
+        p_chi = let(groups, lambda g: chi_squared(at, n, k, g))
+        p_runs = let(F.transform(at, lambda x: (x * 2 >= k).cast("int")), lambda high: let(_sum(high), lambda n1: runs_test(high, n, n1)))
+        p_serial = let(F.aggregate(at, F.lit(0.0), lambda s, x: s + x) / n, lambda mean: serial(at, n, mean))
+        return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+
+    def positions(a: Column) -> Column:
+        return F.transform(F.filter(F.split(F.translate(token, "-_", "+/"), ""), lambda c: c != ""), lambda c: F.instr(a, c) - 1)
+
+    return let(alphabet, lambda a: let(positions(a), lambda at: tests(at, F.length(a))))
 
 
 def length_class(n: Column) -> Column:
