@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diskloom.llm.common import materialize, scratch_path, spread_join
+from diskloom.llm.common import materialize, scratch_path, spread_join, text_batches
 
 DATE = "2020-01-01T00:00:00Z"
 SHARD_BYTES, ROLL_BYTES = 32_000_000, 16_000_000
@@ -179,12 +179,13 @@ def _sharded(pages: DataFrame, id_col: str, shard_bytes: int) -> tuple[DataFrame
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, prefix: str = "pages") -> DataFrame:
     """Write all pages into folder; returns the committed manifest."""
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     narrow = rows.select("i", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes"))
     equal = materialize(narrow.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("i").alias("first"), F.count("*").alias("w")).where("w > 1"), "warc-equal")
     revisits = spread_join(narrow.select("i", "digest"), equal, "digest", "w", equal.agg(F.sum("w")).first()[0] or 0).where(F.col("first").isNotNull() & ~F.col("i").eqNullSafe(F.col("first"))).distinct()
     dealt, shards = _sharded(rows.select("i", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")).unionByName(revisits.select("i", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first", F.lit(0).alias("kind"))), "i", shard_bytes)
-    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "i", "digest", "kind", "url").select("shard", "i", "url", "html", "digest", "first", "kind")
+    ordered = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "i", "digest", "kind", "url").select("shard", "i", "url", "html", "digest", "first", "kind")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, stack, said, entry, told = None, None, None, None, None
