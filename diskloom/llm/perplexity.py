@@ -1,38 +1,45 @@
-"""Quality rules: fixed counts, and the perplexity of a modified Kneser-Ney character model of each language.
+"""Quality rules: fixed counts, and the perplexity of a modified Kneser-Ney model of word trigrams of each language.
 
-Characters of the lower-cased text fall into 64 classes (letters a-z, digits, common marks, and classes of other letters by
-code point), so a 4-gram is a number below 2**24 and a model is bounded by that whatever the corpus: this is why the
-model counts characters, not words, whose n-grams would cost several times the input in shuffles. Counts of all
-4-grams of all documents are gathered by Spark, aggregated in each task first. A language's model is a sorted array of
-hashes (an odd multiplication, which no two 4-grams share) beside their log probabilities, and dense back-off tables
-for 3 characters. Documents outside their language's band of log perplexity are rejected; the band is the quartiles of
-the language's documents that pass the base rules, widened by `width` times their distance.
+A word is what stands between white space in the lower-cased text, as a 64-bit hash; two marks stand before a text. All
+trigrams of all documents are counted. A trigram (u, v, w) goes to the part of its middle word v: there the counts of u v w,
+of its context u v, the number of words before v w and that of pairs around v are all at hand, in sorted arrays, so one
+shuffle of words serves all orders. Only the number of words before each w crosses parts; it is summed in blocks of the hash range.
 
-Scale: two map-only passes over the text; shuffled are (language, 4-gram, count) and numbers of each document. Models
-are broadcast in blocks of languages of at most `block_bytes`; each block scores the documents of its languages.
+A document is scored by the counts of all others: its own trigrams are taken from the counts of its trigrams and bigrams,
+as a text that stands only once would else predict itself. Discounts and the counts of single words are the whole language's.
+Documents outside their language's band of log perplexity are rejected; the band is the quartiles of the language's
+documents that pass the base rules, widened by `width` times their distance.
+
+Scale: one pass over the text. Shuffled are the words, as frequency-ranked numbers with a dictionary for each task and
+part, compressed: what is gathered grows with the input. Parts grow in number with the input; one task
+holds all trigrams around one word. Sums of a document come back in blocks of documents.
 
 Defined results: null text has no words, all counts 0, fails the base rule and has null perplexity; a null language
-is a language of its own; text without characters has null perplexity and is judged by the base rule alone; repeated
+is a language of its own; text without words has null perplexity and is judged by the base rule alone; repeated
 rows are judged alike; null ids are carried; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diskloom.llm.common import materialize, text_batches
 
 WIDTH = 6.0
-BLOCK_BYTES = 256_000_000
+#: Words that a task holds before it writes them out to their parts.
+HELD_WORDS = 5_000_000
 ODD = np.uint32(0x9E3779B1)
+#: Bytes of stored input for each part.
+PART_BYTES = 8_000_000
 _SPACES = (" ", "\t", "\n", "\v", "\f", "\r")
 
 
@@ -56,51 +63,13 @@ def fourgrams(text: str, table: np.ndarray) -> np.ndarray:
     return c[:-3] << np.uint32(18) | c[1:-2] << np.uint32(12) | c[2:-1] << np.uint32(6) | c[3:]
 
 
-def _add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts, first)
-
-
-def count(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, n) over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = class_table()
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size: dict[str, int] = {}
-
-        def merge(lang: str) -> tuple[np.ndarray, np.ndarray]:
-            got = _add(np.concatenate([k for k, _ in held[lang]]), np.concatenate([n for _, n in held[lang]]))
-            held[lang], size[lang] = [got], len(got[0])
-            return got
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts: dict[str, list[np.ndarray]] = {}
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if text:
-                        texts.setdefault(lang, []).append(fourgrams(text, table))
-                for lang, grams in texts.items():
-                    k, n = np.unique(np.concatenate(grams), return_counts=True)
-                    held.setdefault(lang, []).append((k, n))
-                    size[lang] = size.get(lang, 0) + len(k)
-                    if size[lang] > 2_000_000:
-                        merge(lang)
-        for lang in held:
-            k, n = merge(lang)
-            for a in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k[a : a + 100_000]), pa.string()), pa.array(k[a : a + 100_000].astype(np.int32)), pa.array(n[a : a + 100_000].astype(np.int64))], names=["lang", "gram", "n"])
-
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
 def discounts(counts: np.ndarray) -> np.ndarray:
     """D(0), D(1), D(2), D(3 and more) of modified Kneser-Ney; plain fractions where counts of counts are missing."""
-    n = [float((counts == k).sum()) for k in range(1, 5)]
+    return discounts_of([float((counts == k).sum()) for k in range(1, 5)])
+
+
+def discounts_of(n: list[float]) -> np.ndarray:
+    """The same from how many counts are 1, 2, 3 and 4."""
     if not all(n[:2]):
         return np.array([0, 0.5, 0.75, 0.9])
     y = n[0] / (n[0] + 2 * n[1])
@@ -120,7 +89,7 @@ def _level(keys: np.ndarray, counts: np.ndarray, lower: np.ndarray, contexts: in
 
 
 class Model:
-    """Sorted hashes of the 4-grams seen with their log probabilities, and dense tables for those not seen."""
+    """A character model, which no query uses: sorted hashes of the 4-grams seen with their log probabilities, and dense tables for those not seen."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         order = np.argsort(grams)
@@ -186,62 +155,318 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n_words, chars, symbols, dup, repeat
 
 
-def models(counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[dict[str, Model]]:
-    """The languages' models in blocks of bounded size. A language's counts, 2**24 at most, meet in one task."""
-    kinds = "lang string, grams binary, counts binary"
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed planes of bytes."""
+    out = []
+    for a in arrays:
+        z = pa.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), "zstd", asbytes=True) if len(a) else b""
+        out.append(struct.pack("<BII", a.itemsize, len(a), len(z)) + z)
+    return b"".join(out)
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        width, n, size = struct.unpack_from("<BII", raw, at)
+        at += 9
+        planes = pa.decompress(raw[at : at + size], n * width, "zstd", asbytes=True) if n else b""
+        out.append(np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(f"<u{width}").ravel())
+        at += size
+    return out
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """A sorted array as its differences, which pack smaller; np.cumsum gives it back."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Two marks (0) and the hash of each word."""
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    out = np.zeros(len(words) + 2, np.uint64)
+    out[2:] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return out
+
+
+def to_parts(texts: list[np.ndarray], docs: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed dictionary, u, v, w and steps between documents) of hashed texts."""
+    sizes = np.array([len(t) for t in texts])
+    words, ids = np.unique(np.concatenate(texts), return_inverse=True)
+    ids = ids.astype(np.uint32)
+    inner = np.ones(len(ids), bool)
+    starts = np.cumsum(sizes) - sizes
+    inner[starts] = inner[starts + 1] = False
+    at = np.flatnonzero(inner)
+    part = ((words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32)[ids[at - 1]]
+    order = np.argsort(part, kind="stable")
+    at, part, doc = at[order], part[order], np.repeat(docs, sizes - 2)[order]
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        own, numbers, n = np.unique(ids[np.concatenate([at[a:z] - 2, at[a:z] - 1, at[a:z]])], return_inverse=True, return_counts=True)
+        ranked = np.argsort(-n, kind="stable")
+        rank = np.empty(len(own), np.uint32)
+        rank[ranked] = np.arange(len(own), dtype=np.uint32)
+        u, v, w = rank[numbers].reshape(3, -1)
+        yield int(part[a]), pack(words[own[ranked]], u, v, w, np.diff(doc[a:z], prepend=0).astype(np.uint32))
+
+
+class Trigrams:
+    """The trigrams around some middle words with their documents, sorted by v, u, w, document; n_ names how many of each there are."""
+
+    def __init__(self, words: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray, keys: np.ndarray):
+        self.words, self.keys = words, keys
+        self.u, self.v, self.w, self.doc = u, v, w, doc
+        new_uv = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]))
+        new_tri = new_uv | np.append(True, w[1:] != w[:-1])
+        pair = np.flatnonzero(new_tri | np.append(True, doc[1:] != doc[:-1]))
+        tri = np.flatnonzero(new_tri)
+        #: of each (trigram, document): how often, the trigram's number, the document
+        self.own = np.diff(np.append(pair, len(u)))
+        self.tri = np.cumsum(new_tri)[pair] - 1
+        self.of = doc[pair].astype(np.int64)
+        #: of each trigram
+        self.c3 = np.diff(np.append(tri, len(u)))
+        self.ctx = np.cumsum(new_uv)[tri] - 1
+        self.bigrams, self.bi = np.unique(v[tri].astype(np.int64) * len(words) + w[tri], return_inverse=True)
+        #: of each bigram v w
+        self.c2 = np.bincount(self.bi)
+        self.bi_v, self.bi_w = self.bigrams // len(words), self.bigrams % len(words)
+
+    @classmethod
+    def merged(cls, held: list[tuple[int, bytes]]) -> Trigrams:
+        """Of what several tasks wrote: (the task, packed words)."""
+        got = [unpack(raw) for _, raw in held]
+        words, numbers = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        numbers, at, cols, docs = numbers.astype(np.uint32), 0, [], []
+        for (task, _), g in zip(held, got, strict=True):
+            own = numbers[at : at + len(g[0])]
+            at += len(g[0])
+            cols.append(np.stack([own[g[1]], own[g[2]], own[g[3]]]))
+            docs.append((np.uint64(task) << np.uint64(32)) + np.cumsum(g[4], dtype=np.uint64))
+        u, v, w = np.concatenate(cols, axis=1)
+        keys, doc = np.unique(np.concatenate(docs), return_inverse=True)
+        doc = doc.astype(np.uint32)
+        order = np.lexsort((doc, w, u, v))
+        return cls(words, u[order], v[order], w[order], doc[order], keys)
+
+    def packed(self) -> bytes:
+        return pack(steps(self.words), self.u, self.v, self.w, self.doc, steps(self.keys))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Trigrams:
+        words, u, v, w, doc, keys = unpack(raw)
+        return cls(np.cumsum(words, dtype=np.uint64), u, v, w, doc, np.cumsum(keys, dtype=np.uint64))
+
+    def last_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words w, before how many of these v each stands)."""
+        return np.unique(self.bi_w, return_counts=True)
+
+    def log_probabilities(self, d3: np.ndarray, d2: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        """For each document the sum of log p(w | u v) by the counts of all others. p1: of each word, from last_words."""
+        n_docs = len(self.keys)
+        taken = lambda d, c: d[np.minimum(c, 3)]
+        share = lambda some, all_: np.where(all_ > 0, some / np.maximum(all_, 1), 0.0)
+        c, rest = self.c3[self.tri], self.c3[self.tri] - self.own
+        ctx, bi = self.ctx[self.tri], self.bi[self.tri]
+        _, by = np.unique(ctx * n_docs + self.of, return_inverse=True)
+        total = np.bincount(self.ctx, self.c3)[ctx] - np.bincount(by, self.own)[by]
+        back = np.bincount(self.ctx, taken(d3, self.c3))[ctx] - np.bincount(by, taken(d3, c) - taken(d3, rest))[by]
+        some, by = np.unique(bi * n_docs + self.of, return_inverse=True)
+        some_bi = some // n_docs
+        c2 = self.c2[some_bi]
+        rest2 = c2 - np.bincount(by, rest == 0).astype(np.int64)
+        v = self.bi_v[some_bi]
+        _, by_v = np.unique(v * n_docs + some % n_docs, return_inverse=True)
+        total2 = np.bincount(self.bi_v, self.c2)[v] - np.bincount(by_v, c2 - rest2)[by_v]
+        back2 = np.bincount(self.bi_v, taken(d2, self.c2))[v] - np.bincount(by_v, taken(d2, c2) - taken(d2, rest2))[by_v]
+        p2 = share(rest2 - taken(d2, rest2), total2) + np.where(total2 > 0, share(back2, total2), 1.0) * p1[self.bi_w[some_bi]]
+        p3 = share(rest - taken(d3, rest), total) + np.where(total > 0, share(back, total), 1.0) * p2[by]
+        return np.bincount(self.of, self.own * np.log(p3), n_docs)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Runs of rows of one language and part."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and (row["lang"], row["part"]) != (held[0]["lang"], held[0]["part"]):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def read(docs: DataFrame, parts: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """A row (key, id, lang, base counts) for each document and rows (lang, part, task, words) of the words."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        texts: dict[str, list[np.ndarray]] = {}
+        numbers: dict[str, list[int]] = {}
+        held = count = 0
+        kinds = None
+
+        def row(ids: pa.Array, langs: list, part: list, key: list, base: list, words: list) -> pa.RecordBatch:
+            columns = [ids, pa.array(langs, pa.string()), pa.array(part, pa.int32()), pa.array(key, pa.int64()), *(pa.array(c, pa.int64()) for c in base), pa.array(words, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "lang", "part", "key", *NAMES, "words"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, some in texts.items():
+                for part, raw in to_parts(some, np.array(numbers[lang], np.int64), parts):
+                    yield row(pa.nulls(1, kinds), [lang], [part], [task], [[None]] * 5, [raw])
+            texts.clear()
+            numbers.clear()
+
+        for whole in batches:
+            kinds = whole.schema.field(0).type
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                n = batch.num_rows
+                langs, out = batch.column(1).to_pylist(), []
+                for k, text in enumerate(batch.column(2).to_pylist()):
+                    out.append(base_counts(text))
+                    if out[-1][0]:
+                        hashed = word_hashes(text)
+                        texts.setdefault(langs[k], []).append(hashed)
+                        numbers.setdefault(langs[k], []).append(count + k)
+                        held += len(hashed)
+                yield row(batch.column(0), langs, [-1 - (count + k) % parts for k in range(n)], [(task << 32) + count + k for k in range(n)], [[r[j] for r in out] for j in range(5)], [None] * n)
+                count += n
+                if held > HELD_WORDS:
+                    yield from flush()
+                    held = 0
+        yield from flush()
 
-    def pack(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [p["lang"].iloc[0]], "grams": [p["gram"].to_numpy(np.uint32).tobytes()], "counts": [p["n"].to_numpy(np.int64).tobytes()]})
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, lang string, part int, key long, {', '.join(f'{c} long' for c in NAMES)}, words binary")
 
-    block: dict[str, Model] = {}
-    size = 0
-    for row in counts.groupBy("lang").applyInPandas(pack, kinds).toLocalIterator():
-        m = Model(np.frombuffer(row["grams"], np.uint32), np.frombuffer(row["counts"], np.int64))
-        if block and size + m.nbytes() > block_bytes:
-            yield block
-            block, size = {}, 0
-        block[row["lang"]] = m
-        size += m.nbytes()
-    yield block
 
+def gather(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows of documents as they are, and one row a language and part: (words: the trigrams, n3, n2: counts of counts, last)."""
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        now = schema = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = Trigrams.merged(held)
+                number, n = t.last_words()
+                stats = [pa.array([[int((c == k).sum()) for k in range(1, 5)] + [len(c)]], pa.list_(pa.int64())) for c in (t.c3, t.c2)]
+                columns = [pa.nulls(1, f.type) for f in schema]
+                columns[1], columns[2] = pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int32())
+                columns[-1] = pa.array([t.packed()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, *stats, pa.array([pack(steps(t.words[number]), n.astype(np.uint32))], pa.binary())], names=[*schema.names, "n3", "n2", "last"])
+            held.clear()
+
+        for batch in batches:
+            schema = batch.schema
+            part = batch.column("part").to_numpy()
+            docs = batch.filter(pa.array(part < 0))
+            if docs.num_rows:
+                none = pa.nulls(docs.num_rows, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*docs.columns, none, none, pa.nulls(docs.num_rows, pa.binary())], names=[*schema.names, "n3", "n2", "last"])
+            for k in np.flatnonzero(part >= 0):
+                key = (batch.column("lang")[k].as_py(), int(part[k]))
+                if key != now:
+                    yield from done()
+                    now = key
+                held.append((batch.column("key")[k].as_py(), batch.column("words")[k].as_py()))
+        yield from done()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(parts, "lang", "part").sortWithinPartitions("lang", "part").mapInArrow(run, f"{kinds}, n3 array<long>, n2 array<long>, last binary")
+
+
+def sum_last(state: DataFrame, parts: int) -> DataFrame:
+    """(lang, part, block, n: packed sums over all parts of the part's last words in the block, distinct): by blocks of the hash range."""
+    cut = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("from", pa.int32()), ("last", pa.binary())])
+    back = pa.schema([("lang", pa.string()), ("to", pa.int32()), ("block", pa.int32()), ("n", pa.binary()), ("distinct", pa.int64())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, n = unpack(row["last"])
+                words = np.cumsum(words, dtype=np.uint64)
+                block = block_of(words, parts)
+                edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+                yield _batch([(row["lang"], int(block[a]), row["part"], pack(steps(words[a:z]), n[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)], cut)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            got = [unpack(r["last"]) for r in rows]
+            words, by = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
+            n = np.bincount(by, np.concatenate([g[1] for g in got])).astype(np.uint32)
+            ends = np.cumsum([len(g[0]) for g in got])
+            yield _batch([(r["lang"], r["from"], r["part"], pack(n[by[z - len(g[0]) : z]]), len(words) if not k else 0) for k, (r, g, z) in enumerate(zip(rows, got, ends, strict=True))], back)
+
+    blocks = state.select("lang", "part", "last").mapInArrow(split, "lang string, part int, `from` int, last binary")
+    return blocks.repartition(parts, "lang", "part").sortWithinPartitions("lang", "part").mapInArrow(total, "lang string, `to` int, block int, n binary, distinct long")
+
+
+def block_of(words: np.ndarray, parts: int) -> np.ndarray:
+    """Of sorted words, in their order."""
+    return ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, the base counts, log_ppl) of every row, as a written table."""
     text_batches(docs.sparkSession)
-    counts = materialize(count(docs, text_col, lang_col), "ngram-counts")
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    parts, known = [], [r["lang"] for r in counts.select("lang").distinct().collect()]
-    for block in models(counts, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = class_table()
-            for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    batch = whole.slice(at, 256)
-                    out, logs = [], []
-                    for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                        out.append(base_counts(text))
-                        m = shared.value.get(lang)
-                        logs.append(-float(m.log_probability(fourgrams(text, table)).mean(dtype=np.float64)) if text and m else None)
-                    columns = [pa.array([r[k] for r in out], pa.int64()) for k in range(5)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(logs, pa.float64())], names=["id", "lang", *names, "log_ppl"])
-
-        mine = F.col("lang").isin(list(block))
-        # languages whose texts are all empty have no model; they go with the first block
-        some = rows.where(mine if parts else mine | ~F.col("lang").isin(known))
-        parts.append(some.mapInArrow(run, f"id {kind}, lang string, {', '.join(f'{c} long' for c in names)}, log_ppl double"))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return materialize(scored, "ngram-scores")
-
-
-def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    # about 4 million words a part where the size of the input is known
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(8, min(4 * docs.rdd.getNumPartitions(), size // PART_BYTES))
+    rows = materialize(gather(read(docs, parts, id_col, text_col, lang_col), parts), "word-trigrams")
+    # what the driver no longer refers to loses its shuffle files
+    docs.sparkSession._jvm.System.gc()
+    state = rows.where(F.col("part") >= 0)
+    last = materialize(sum_last(state, parts), "last-words")
+    sums = lambda c: F.array(*[F.sum(F.col(c)[k]) for k in range(5)]).alias(c)
+    distinct = {r["lang"]: r["n"] for r in last.groupBy("lang").agg(F.sum("distinct").alias("n")).collect()}
+    # one row for each language label
+    laws = {r["lang"]: (discounts_of([float(x) for x in r["n3"][:4]]), discounts_of([float(x) for x in r["n2"][:4]]), r["n2"][4], distinct[r["lang"]]) for r in state.groupBy("lang").agg(sums("n3"), sums("n2")).collect()}
+    ones = last.groupBy(F.col("lang").alias("_lang"), F.col("to").alias("_to")).agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("ones"))
+    met = state.select("lang", "part", "words").join(ones, (F.col("lang") == F.col("_lang")) & (F.col("part") == F.col("_to"))).select("lang", "part", "words", "ones")
+    sent = pa.schema([("task", pa.int64()), ("part", pa.int32()), ("sums", pa.binary())])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                d3, d2, bigrams, words = laws[batch.column("lang")[k].as_py()]
+                t = Trigrams.unpacked(batch.column("words")[k].as_py())
+                number, _ = t.last_words()
+                p1 = np.zeros(len(t.words))
+                p1[number] = 0.05 / words + 0.95 * np.concatenate([unpack(x["n"])[0] for x in batch.column("ones")[k].as_py()]) / bigrams
+                logs = t.log_probabilities(d3, d2, p1).astype(np.float32).view(np.uint32)
+                task = (t.keys >> np.uint64(32)).astype(np.int64)
+                edges = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
+                doc = (t.keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                yield _batch([(int(task[a]), batch.column("part")[k].as_py(), pack(steps(doc[a:z]), logs[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)], sent)
+
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        got = [unpack(raw) for raw in p.sort_values(["part", "sums"])["sums"]]
+        doc = np.concatenate([np.cumsum(g[0], dtype=np.uint32) for g in got])
+        logs = np.concatenate([g[1].view(np.float32) for g in got])
+        some, by = np.unique(doc, return_inverse=True)
+        return pd.DataFrame({"_key": (int(p["task"].iloc[0]) << 32) + some.astype(np.int64), "logs": np.bincount(by, logs)})
+
+    logs = met.mapInArrow(judge, "task long, part int, sums binary").groupBy("task").applyInPandas(add, "_key long, logs double")
+    base = rows.where(F.col("part") < 0).select("key", "id", "lang", *NAMES)
+    scored = base.join(logs, F.col("key") == F.col("_key"), "left")
+    return materialize(scored.select("id", "lang", *NAMES, (-F.col("logs") / F.col("n_words")).alias("log_ppl")), "ngram-scores")
+
+
+def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
     """(id, base counts, base_failed, kept, perplexity) of every row."""
-    scored = score(docs, id_col, text_col, lang_col, block_bytes)
+    scored = score(docs, id_col, text_col, lang_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     bands = scored.where(~failed & F.col("log_ppl").isNotNull()).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
     bands = bands.select("lang", (F.col("q")[0] - width * (F.col("q")[1] - F.col("q")[0]) - 1e-9).alias("lo"), (F.col("q")[1] + width * (F.col("q")[1] - F.col("q")[0]) + 1e-9).alias("hi"))
@@ -249,7 +474,3 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     judged = scored.join(F.broadcast(bands), "lang", "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("lo"), F.col("hi")), F.lit(True))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), F.round(F.exp("log_ppl"), 6).alias("perplexity"))
-
-
-def perplexity(grams: np.ndarray, model: Model) -> float:
-    return math.exp(-float(model.log_probability(grams).mean(dtype=np.float64)))

@@ -148,6 +148,57 @@ def test_rules_reject_noise_and_keep_prose(spark, prose):
     assert perplexity.rules(make(spark, [])).collect() == []
 
 
+def brute_word_model(docs, k):
+    """Mean log probability of document k's words by dictionaries: the discounts and single words of all, other counts without k."""
+    from collections import Counter
+
+    grams = lambda d: list(zip(["<", "<", *d], ["<", *d], d, strict=False))
+    every = Counter(g for d in docs for g in grams(d))
+    d3 = perplexity.discounts(np.array(list(every.values())))
+    twos = Counter((v, w) for _, v, w in every)
+    d2 = perplexity.discounts(np.array(list(twos.values())))
+    ones = Counter(w for _, w in twos)
+    others = Counter(g for j, d in enumerate(docs) if j != k for g in grams(d))
+    pairs = Counter((v, w) for _, v, w in others)
+    total = 0.0
+    for u, v, w in grams(docs[k]):
+        p = 0.05 / len(ones) + 0.95 * ones[w] / len(twos)
+        for counts, gram, d in ((pairs, (v, w), d2), (others, (u, v, w), d3)):
+            mine = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+            if mine:
+                n = sum(mine.values())
+                p = (counts[gram] - d[min(counts[gram], 3)]) / n + sum(d[min(c, 3)] for c in mine.values()) / n * p
+        total += math.log(p)
+    return -total / len(docs[k])
+
+
+def test_word_trigrams_against_dictionaries(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "HELD_WORDS", 100)
+    rnd = random.Random(3)
+    docs = [[rnd.choice("a b c dd É f".split()) for _ in range(rnd.randint(1, 30))] for _ in range(40)] + [["a"], ["once", "only", "here"]]
+    got = {r["id"]: r["log_ppl"] for r in perplexity.score(make(spark, [" ".join(d) for d in docs] + ["", None, " "])).collect()}
+    low = [[w.lower() for w in d] for d in docs]
+    for k in range(len(docs)):
+        assert math.isclose(got[k], brute_word_model(low, k), rel_tol=1e-5)
+    assert got[42] is got[43] is got[44] is None
+
+
+def test_words_in_random_order_are_told_from_prose(spark):
+    rnd = random.Random(4)
+    after = {w: rnd.sample(range(200), 3) for w in range(200)}
+
+    def prose(n):
+        out = [rnd.randrange(200)]
+        while len(out) < n:
+            out.append(rnd.choice(after[out[-1]]))
+        return [f"word{w}" for w in out]
+
+    texts = [prose(120) for _ in range(200)]
+    mixed = [rnd.sample(t, len(t)) for t in texts[:5]]
+    got = {r["doc_id"]: r for r in perplexity.rules(make(spark, [" ".join(t) for t in texts + mixed])).collect()}
+    assert all(got[k]["kept"] for k in range(200)) and not any(got[200 + k]["kept"] for k in range(5))
+
+
 def brute_spans(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or "", re.A):
