@@ -10,8 +10,8 @@ Scale: text is read twice, to hash its lines and to cut them; every shuffle but
 of all documents is met by a broadcast of heavy keys (at most 10,000 by construction, see common.spread_join).
 The last join moves each text once, by document id.
 
-Defined results: null text has 0 lines and stays null; empty text is one empty line; lines shorter than
-`min_chars` characters are never boilerplate; a null site counts as no site; rows with a null id count towards
+Defined results: null text has 0 lines and stays null; empty text is one empty line; empty lines, and those
+shorter than `min_chars` characters, are never boilerplate; a null site counts as no site; rows with a null id count towards
 spread but are never edited; repeated rows are edited alike; other columns pass through under their names.
 """
 
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from diskloom.llm.common import materialize, spread_join
 
-MIN_SITES, MIN_CHARS = 3, 24
+MIN_SITES = 3
+#: Every line that is not empty is judged: the spread over sites protects ordinary short lines, not their length.
+MIN_CHARS = 1
 #: Of the sketch: 2**12 registers, a standard error of 1.04 / 64.
 LG_K = 12
 

@@ -65,6 +65,12 @@ def test_line_spread_far_above_the_threshold_uses_the_sketch(spark):
     assert abs(found["sites"] - 300) < 30 and found["first"] == 0
 
 
+def test_short_lines_on_many_sites_are_boilerplate(spark):
+    texts = ["All rights reserved.\nMenu\n\nown line one", "Menu\n\nAll rights reserved.\nown line two", "Home\nAll rights reserved.\n\nMenu", "Home\n\nown line three"]
+    got = {r["doc_id"]: (r["text"], r["_n_removed"]) for r in linededup.remove_boilerplate(make(spark, [(k, t, f"s{k}") for k, t in enumerate(texts)])).collect()}
+    assert got == {0: (texts[0], 0), 1: ("\nown line two", 2), 2: ("Home\n", 2), 3: (texts[3], 0)}
+
+
 # decontamination
 
 
