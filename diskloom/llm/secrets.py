@@ -75,9 +75,17 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def encoding_of(token: Column) -> Column:
-    """Null if the token has no digit or no letter: words and numbers are not tested."""
+    """Null if and only if the token has no digit or no letter: words and numbers are not tested.
+
+    Hex and base36 are in one case, with separators - and _ left out where 20 characters remain; all else is base64.
+    """
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    return F.when(~mixed, F.lit(None).cast("string")).when(token.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[A-Z2-7]+$"), "base32").when(token.rlike("^[0-9a-z]+$"), "base36").when(token.rlike("[a-z]") & token.rlike("[A-Z]"), "base64")
+
+    def known(bare: Column) -> Column:
+        found = F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(bare.rlike("^[A-Z2-7]+$"), "base32").when(bare.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").otherwise("base64")
+        return F.when(F.length(bare) >= 20, found).otherwise("base64")
+
+    return F.when(mixed, let(F.translate(token, "-_", ""), known))
 
 
 def _normal_p(z: Column) -> Column:
@@ -120,7 +128,10 @@ def battery(token: Column, encoding: Column) -> Column:
         return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
     def positions(a: Column) -> Column:
-        return F.transform(F.filter(F.split(F.translate(token, "-_", "+/"), ""), lambda c: c != ""), lambda c: F.instr(a, c) - 1)
+        mapped = F.translate(token, "-_", "+/")
+        folded = F.when(encoding.isin("hex", "base36"), F.lower(mapped)).otherwise(mapped)
+        # separators are no characters of the smaller alphabets
+        return F.filter(F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.instr(a, c) - 1), lambda x: x >= 0)
 
     return let(alphabet, lambda a: let(positions(a), lambda at: tests(at, F.length(a))))
 

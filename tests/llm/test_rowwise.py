@@ -232,6 +232,20 @@ def test_battery_tells_random_tokens_from_patterns(spark):
     assert not any(got[k] for k in range(60, 65))
 
 
+def test_bare_keys_of_every_form_are_tested(spark):
+    rnd = random.Random(17)
+    draw = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    lower = "0123456789abcdefghijklmnopqrstuvwxyz"
+    keys = [draw("0123456789ABCDEF", 40) for _ in range(30)]
+    keys += ["-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)) for _ in range(30)]
+    keys += ["sk_live_" + draw(lower, 40) for _ in range(30)] + [draw(lower.upper(), 40) for _ in range(30)]
+    made = ["ABC123" * 8, "AB12CD-" * 6, "ab1_" * 10, "path/to/a/file/number1"]
+    got = {r["doc_id"]: r["random"] for r in secrets.scan(make(spark, [f"see {x} there" for x in keys + made])).collect()}
+    for k in range(0, 120, 30):
+        assert sum(len(got[j]) == 1 and got[j][0]["value"] == keys[j] for j in range(k, k + 30)) >= 25
+    assert not any(got[k] for k in range(120, 124))
+
+
 def test_secret_thresholds_are_benjamini_hochberg(spark):
     rnd = random.Random(13)
     texts = ["tok " + "".join(rnd.choice("abcdef0123456789") for _ in range(24)) for _ in range(80)] + ["tok " + "ab12" * 6 for _ in range(20)]
