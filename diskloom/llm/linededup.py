@@ -11,8 +11,9 @@ of all documents is met by a broadcast of heavy keys (at most 10,000 by construc
 The last join moves each text once, by document id.
 
 Defined results: null text has 0 lines and stays null; empty text is one empty line; empty lines, and those
-shorter than `min_chars` characters, are never boilerplate; a null site counts as no site; rows with a null id count towards
-spread but are never edited; repeated rows are edited alike; other columns pass through under their names.
+shorter than `min_chars` characters, are never boilerplate; texts of any length are taken whole; of documents with the same line the
+smallest id keeps it; a null site counts as no site; rows with a null id count towards spread but are never edited; repeated rows are
+edited alike; an empty table gives no rows. A row travels as one column, so other columns keep their values whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ MIN_CHARS = 1
 LG_K = 12
 
 
-
 def spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(boilerplate: k, sites, first; occurrences: id, k, first, n) for lines that may be boilerplate."""
     lines = materialize(
@@ -58,20 +58,35 @@ def spread(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site
     return known.where(F.col("sites") >= min_sites).select("a", "b", "n", "sites", "first"), occurrences
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with boilerplate lines cut from the text, plus _n_lines and _n_removed."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(row: all columns of docs, text: what is left of it, n_lines, n_removed) of every row."""
     boiler, occurrences = spread(docs, id_col, text_col, site_col, min_sites, min_chars)
     boiler = materialize(boiler, "line-boilerplate")
     total = boiler.agg(F.sum("n")).first()[0] or 0
     by_a = boiler.groupBy("a").agg(F.sum("n").alias("weight"), F.collect_list("b").alias("bs"))
     others = occurrences.where(F.col("id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).select("id", "a", "b")
     gone = spread_join(others, by_a, "a", "weight", total).where(F.array_contains("bs", F.col("b")))
-    per_doc = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
+    per_doc = gone.groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
     # the lists are the small side: hashing them spares sorting the texts
-    joined = docs.join(per_doc.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.filter(lines, lambda x: ~((F.length(x) >= min_chars) & F.array_contains("_gone", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))))
-    touched = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    columns = [F.col(f"`{c}`") if c != text_col else F.when(F.col("_left").isNotNull(), F.array_join("_left", "\n")).otherwise(F.col(text_col)).alias(text_col) for c in docs.columns]
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-    return touched.select(*columns, n.cast("long").alias("_n_lines"), F.coalesce(n - F.size("_left"), F.lit(0)).cast("long").alias("_n_removed"))
+    joined = rows.join(per_doc.hint("shuffle_hash"), F.col("id") == F.col("of"), "left")
+    text = F.col("row")[text_col]
+    lines = F.split(text, "\n")
+    left = F.filter(lines, lambda x: ~((F.length(x) >= min_chars) & F.array_contains("gone", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))))
+    touched = joined.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    n = F.when(text.isNull(), 0).otherwise(F.size(lines))
+    return touched.select("row", F.when(F.col("left").isNotNull(), F.array_join("left", "\n")).otherwise(text).alias("text"), n.cast("long").alias("n_lines"), F.coalesce(n - F.size("left"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or with as many more underscores before it as it takes to be none of the others."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with boilerplate lines cut from the text, plus _n_lines and _n_removed, with more underscores where docs has such columns."""
+    found = judge(docs, id_col, text_col, site_col, min_sites, min_chars)
+    columns = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return found.select(*columns, F.col("n_lines").alias(free_name("_n_lines", docs.columns)), F.col("n_removed").alias(free_name("_n_removed", docs.columns)))

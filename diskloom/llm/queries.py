@@ -17,8 +17,7 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.remove_boilerplate(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return linededup.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("row.doc_id", "n_lines", "n_removed", "text")
 
 
 def op3_qgram_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
