@@ -24,6 +24,12 @@ MAX_CHUNK_BYTES = 64 << 20
 MAX_REQUEST_BYTES = 1 << 30
 MAX_SECTION_BYTES = 1 << 32
 CACHE_BYTES = 64 << 20
+#: Entries of a chunk table that are read at once, and pages of entries that are kept.
+PAGE_ENTRIES, PAGES = 16_384, 64
+#: Stored bytes that a run of chunks reads at once.
+RUN_BYTES = 4 << 20
+#: Images that a worker keeps open from one row, or one task, to the next.
+OPEN_IMAGES = 2
 TAGS = {"c": "case_number", "n": "evidence_number", "a": "description", "e": "examiner", "t": "notes", "av": "version", "ov": "platform", "m": "acquired", "u": "system_date", "p": "password_hash", "r": "compression", "md": "model", "sn": "serial", "l": "device", "pid": "process", "dc": "unknown_dc", "ext": "extents"}
 
 
@@ -53,7 +59,9 @@ class Table:
     seg: int
     section_idx: int
     base: int
-    entries: np.ndarray
+    #: Entries lie at this place of the segment's file; they are read in pages when a chunk is asked for.
+    at: int
+    count: int
     data_end: int
     first_chunk: int = 0
 
@@ -158,6 +166,8 @@ class Image:
         image._files: dict[int, object] = {}
         image._cache: OrderedDict[int, bytes] = OrderedDict()
         image._held = 0
+        image._pages: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+        image.pages_read = 0
         try:
             image._walk()
         except BaseException:
@@ -165,6 +175,23 @@ class Image:
             raise
         return image
 
+    @staticmethod
+    def shared(path: str) -> "Image":
+        """An image that this process keeps open, so that ranges and volumes of one image walk its sections once. Not to be closed."""
+        told = os.stat(path)
+        mark = (told.st_mtime_ns, told.st_size, told.st_ino)
+        held = _SHARED.get(path)
+        if held is not None and held[0] == mark:
+            _SHARED.move_to_end(path)
+            return held[1]
+        if held is not None:
+            _SHARED.pop(path)[1].close()
+        image = Image.open(path)
+        _SHARED[path] = (mark, image)
+        while len(_SHARED) > OPEN_IMAGES:
+            _SHARED.popitem(last=False)[1][1].close()
+        return image
+
     def __enter__(self) -> "Image":
         return self
 
@@ -225,8 +252,10 @@ class Image:
         first = 0
         for t in tables:
             t.first_chunk = first
-            first += len(t.entries)
+            first += t.count
         self.tables = tables
+        self.chunk_total = first
+        self._firsts = [t.first_chunk for t in tables]
 
     def _dispatch(self, s: Section, pairs: list[Section], tables: list[Table]) -> None:
         body = s.size - DESCRIPTOR
@@ -252,13 +281,12 @@ class Image:
             told, base = struct.unpack_from("<I", head, 0)[0], struct.unpack_from("<Q", head, 8)[0]
             room = (body - 24) // 4
             count = told if 0 < told <= room else max(0, (body - 28) // 4)
-            data = self._bytes(s.seg, at + 24, 4 * count)
-            if len(data) < 4 * count:
+            if at + 24 + 4 * count > self.segments[s.seg].size:
                 raise EvidenceError("a table section is cut off")
             if base > self.segments[s.seg].size:
                 raise EvidenceError(f"a table's base offset {base} is past its file")
             end = s.next if s.next > s.addr else self.segments[s.seg].size
-            tables.append(Table(s.seg, s.idx, base, np.frombuffer(data, "<u4"), end))
+            tables.append(Table(s.seg, s.idx, base, at + 24, count, end))
         elif s.type == "digest" and body >= 36:
             d = self._bytes(s.seg, at, 36)
             if len(d) < 36:
@@ -275,9 +303,24 @@ class Image:
     def chunk_bytes(self) -> int:
         return self.geometry.chunk_sectors * self.geometry.sector_bytes
 
-    @property
-    def chunk_total(self) -> int:
-        return sum(len(t.entries) for t in self.tables)
+    def entries(self, table: Table, first: int = 0, n: int | None = None) -> np.ndarray:
+        """Entries first to first + n of a table, as they are stored."""
+        n = table.count - first if n is None else min(n, table.count - first)
+        data = self._bytes(table.seg, table.at + 4 * first, 4 * n)
+        if len(data) < 4 * n:
+            raise EvidenceError("a table section is cut off")
+        return np.frombuffer(data, "<u4")
+
+    def _page(self, k: int, page: int) -> np.ndarray:
+        """A page of table k's entries, and the entry after it if there is one."""
+        if (k, page) in self._pages:
+            self._pages.move_to_end((k, page))
+            return self._pages[k, page]
+        found = self._pages[k, page] = self.entries(self.tables[k], page * PAGE_ENTRIES, PAGE_ENTRIES + 1)
+        self.pages_read += 1
+        if len(self._pages) > PAGES:
+            self._pages.popitem(last=False)
+        return found
 
     @property
     def coverage(self) -> int:
@@ -295,26 +338,53 @@ class Image:
 
     def place(self, chunk: int) -> tuple[int, int, int, bool]:
         """(segment, offset, limit, compressed): limit is where the next chunk, or the data, begins."""
-        k = bisect_right([t.first_chunk for t in self.tables], chunk) - 1
-        t = self.tables[k]
-        i = chunk - t.first_chunk
-        if not 0 <= i < len(t.entries):
+        k = bisect_right(self._firsts, chunk) - 1
+        # empty tables share their first chunk with the next
+        if k < 0 or not 0 <= chunk - self._firsts[k] < self.tables[k].count:
             raise NotFound(f"chunk {chunk}")
-        entry = int(t.entries[i])
+        t = self.tables[k]
+        page, j = divmod(chunk - t.first_chunk, PAGE_ENTRIES)
+        entries = self._page(k, page)
+        entry = int(entries[j])
         offset = t.base + (entry & 0x7FFFFFFF)
         limit = t.data_end
-        if i + 1 < len(t.entries):
-            after = t.base + (int(t.entries[i + 1]) & 0x7FFFFFFF)
+        if j + 1 < len(entries):
+            after = t.base + (int(entries[j + 1]) & 0x7FFFFFFF)
             limit = after if after > offset else limit
         return t.seg, offset, limit, bool(entry >> 31)
 
+    def _stored(self, offset: int, limit: int, compressed: bool) -> int:
+        """How many bytes a chunk can have: no more than lie before the next, and no more than its data and checksum."""
+        most = self.chunk_bytes + (1024 if compressed else 4)
+        return min(most, limit - offset) if limit > offset else most
+
+    def run(self, first: int, n: int) -> Iterator[bytes]:
+        """Chunks first to first + n, decoded; their stored bytes are read many at a time, and nothing is cached."""
+        places, size = [], self.chunk_bytes
+        for number in range(first, first + n):
+            seg, offset, limit, compressed = self.place(number)
+            want = self._stored(offset, limit, compressed)
+            if places and (seg != places[0][1] or offset < places[-1][2] or offset + want - places[0][2] > RUN_BYTES):
+                yield from self._decoded(places, size)
+                places = []
+            places.append((number, seg, offset, want, limit - offset, compressed))
+        yield from self._decoded(places, size)
+
+    def _decoded(self, places: list[tuple[int, int, int, int, int, bool]], size: int) -> Iterator[bytes]:
+        if not places:
+            return
+        start = places[0][2]
+        raw = memoryview(self._bytes(places[0][1], start, places[-1][2] + places[-1][3] - start))
+        for number, _, offset, want, stored, compressed in places:
+            yield decode(raw[offset - start : offset - start + want], compressed, size, self.valid_bytes(number), stored)
+
     def chunk(self, number: int) -> bytes:
         """The decoded bytes of a chunk, through a cache bounded in bytes."""
         if number in self._cache:
             self._cache.move_to_end(number)
             return self._cache[number]
         seg, offset, limit, compressed = self.place(number)
-        data = decode(self._bytes(seg, offset, self.chunk_bytes + (0 if compressed else 4)), compressed, self.chunk_bytes, self.valid_bytes(number), limit - offset)
+        data = decode(self._bytes(seg, offset, self._stored(offset, limit, compressed)), compressed, self.chunk_bytes, self.valid_bytes(number), limit - offset)
         self._cache[number] = data
         self._held += len(data)
         while self._held > CACHE_BYTES and len(self._cache) > 1:
@@ -347,21 +417,33 @@ class Image:
             out += part
         return bytes(out)
 
-    def stream(self, step_sectors: int = 4096) -> Iterator[bytes]:
-        """The whole medium in order: as many sectors as the volume section counts, or all that are covered."""
-        g = self.geometry
-        total = g.sector_count or self.coverage
-        for lba in range(0, total, step_sectors):
-            yield self.read_sectors(lba, min(step_sectors, total - lba))
+    def stream(self, step_sectors: int = 1 << 20) -> Iterator[bytes]:
+        """The whole medium in order, a chunk or step_sectors at a time: as many sectors as the volume section counts, or all that are covered."""
+        g, at = self.geometry, 0
+        total = (g.sector_count or self.coverage) * g.sector_bytes
+        if total > self.coverage * g.sector_bytes:
+            raise EvidenceError(f"{g.sector_count} sectors, but chunks for {self.coverage}")
+        step, size = step_sectors * g.sector_bytes, self.chunk_bytes
+        for data in self.run(0, -(-total // size)):
+            want = min(size, total - at)
+            data = data[:want] if len(data) >= want else data + bytes(want - len(data))
+            at += want
+            if step >= want:
+                yield data
+            else:
+                yield from (data[k : k + step] for k in range(0, want, step))
+
+
+_SHARED: OrderedDict[str, tuple[tuple, Image]] = OrderedDict()
 
 
-def decode(raw: bytes, compressed: bool, chunk_bytes: int, valid: int, stored: int | None = None) -> bytes:
+def decode(raw: bytes | memoryview, compressed: bool, chunk_bytes: int, valid: int, stored: int | None = None) -> bytes:
     """A chunk's data. Damage, a wrong checksum or too few bytes are errors."""
     if not compressed:
         size = min(chunk_bytes, len(raw) - 4, stored - 4 if stored is not None and stored > 4 else chunk_bytes)
         if size < valid:
             raise EvidenceError(f"a raw chunk has {max(size, 0)} of {valid} bytes")
-        data = raw[:size]
+        data = bytes(raw[:size])
         if zlib.adler32(data) != struct.unpack_from("<I", raw, size)[0]:
             raise EvidenceError("a raw chunk's checksum is wrong")
         return data

@@ -49,12 +49,11 @@ def nodes(spark: SparkSession, path: str, partition: int | None = None, mode: st
                 rows: list[dict] = []
                 head = {"image_id": path, "part": part, "start_sector": start, "size_sectors": size, "fs_type": kind, "root_id": root}
                 try:
-                    with Image.open(path) as image:
-                        for n in open_volume(image, start, size, kind).nodes(share):
-                            rows.append(head | _row(n))
-                            if len(rows) == 2000:
-                                yield pa.RecordBatch.from_pylist(rows, schema)
-                                rows = []
+                    for n in open_volume(Image.shared(path), start, size, kind).nodes(share):
+                        rows.append(head | _row(n))
+                        if len(rows) == 2000:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows = []
                 except (EvidenceError, ValueError, IndexError, KeyError, struct.error) as e:
                     if mode.upper() != "PERMISSIVE":
                         raise EvidenceError(f"{path}, partition {part}: {e}") from e
@@ -62,7 +61,8 @@ def nodes(spark: SparkSession, path: str, partition: int | None = None, mode: st
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spread(shares, ["image_id", "part", "share"]).mapInArrow(parse, NODES)
+    # written down, as entries, paths and facts are all taken from it: a volume is parsed once
+    return materialize(spread(shares, ["image_id", "part", "share"]).mapInArrow(parse, NODES), "nodes")
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -224,44 +224,35 @@ def read_slices(rows: DataFrame, hashes: bool = False) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in carried) + ", " + added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        image = None
-        try:
-            for whole in batches:
-                for k in range(0, whole.num_rows, 64):
-                    batch = whole.slice(k, 64)
-                    got = {c: batch.column(names.index(c)).to_pylist() for c in ("image_id", "start_sector", "size_sectors", "offset", "length", "extents", "size", "codec", "error", "mode")}
-                    out: list[tuple] = []
-                    for r in range(batch.num_rows):
-                        row = {c: v[r] for c, v in got.items()}
-                        if row["error"]:
-                            raise EvidenceError(row["error"])
-                        if row["mode"] & 0xF000 == 0x4000:
-                            raise EvidenceError("a directory has no content")
-                        if image is None or image.path != row["image_id"]:
-                            if image is not None:
-                                image.close()
-                            image = Image.open(row["image_id"])
-                        volume = Volume(image, row["start_sector"], row["size_sectors"])
-                        end = min(row["size"], row["offset"] + row["length"])
-                        if row["codec"]:
-                            packed = b"".join(_pieces(volume, row["extents"], 0, sum(e["length"] for e in row["extents"])))
-                            parts: Iterator[bytes] = iter([decode_codec(row["codec"], packed, row["size"])[row["offset"] : end]])
-                        else:
-                            parts = _pieces(volume, row["extents"], min(row["offset"], end), end)
-                        if hashes:
-                            md5, sha1 = hashlib.md5(), hashlib.sha1()
-                            for p in parts:
-                                md5.update(p)
-                                sha1.update(p)
-                            out.append((md5.hexdigest(), sha1.hexdigest()))
-                        else:
-                            out.append((b"".join(parts),))
-                    kinds = (pa.string(), pa.string()) if hashes else (pa.binary(),)
-                    new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in carried), *new], names=[*carried, *(["md5", "sha1"] if hashes else ["data"])])
-        finally:
-            if image is not None:
-                image.close()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 64):
+                batch = whole.slice(k, 64)
+                got = {c: batch.column(names.index(c)).to_pylist() for c in ("image_id", "start_sector", "size_sectors", "offset", "length", "extents", "size", "codec", "error", "mode")}
+                out: list[tuple] = []
+                for r in range(batch.num_rows):
+                    row = {c: v[r] for c, v in got.items()}
+                    if row["error"]:
+                        raise EvidenceError(row["error"])
+                    if row["mode"] & 0xF000 == 0x4000:
+                        raise EvidenceError("a directory has no content")
+                    volume = Volume(Image.shared(row["image_id"]), row["start_sector"], row["size_sectors"])
+                    end = min(row["size"], row["offset"] + row["length"])
+                    if row["codec"]:
+                        packed = b"".join(_pieces(volume, row["extents"], 0, sum(e["length"] for e in row["extents"])))
+                        parts: Iterator[bytes] = iter([decode_codec(row["codec"], packed, row["size"])[row["offset"] : end]])
+                    else:
+                        parts = _pieces(volume, row["extents"], min(row["offset"], end), end)
+                    if hashes:
+                        md5, sha1 = hashlib.md5(), hashlib.sha1()
+                        for p in parts:
+                            md5.update(p)
+                            sha1.update(p)
+                        out.append((md5.hexdigest(), sha1.hexdigest()))
+                    else:
+                        out.append((b"".join(parts),))
+                kinds = (pa.string(), pa.string()) if hashes else (pa.binary(),)
+                new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in carried), *new], names=[*carried, *(["md5", "sha1"] if hashes else ["data"])])
 
     return rows.mapInArrow(run, schema)
 

@@ -44,19 +44,19 @@ def sectors(spark: SparkSession, path: str, lba_start: int | None = None, lba_en
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                with Image.open(path) as image:
-                    per = image.geometry.chunk_sectors
-                    rows: list[tuple] = []
-                    for k in range(first, first + n):
-                        if (lba_start is not None and (k + 1) * per <= lba_start) or (lba_end is not None and k * per >= lba_end):
-                            continue
-                        data = image.chunk(k)
-                        rows.append((path, k, k * per, len(data) // image.geometry.sector_bytes, data))
-                        if len(rows) == BATCH:
-                            yield _batch(rows)
-                            rows = []
-                    if rows:
+                image = Image.shared(path)
+                per, size = image.geometry.chunk_sectors, image.geometry.sector_bytes
+                # only the chunks under the asked sectors
+                low = first if lba_start is None else max(first, lba_start // per)
+                high = first + n if lba_end is None else min(first + n, -(-lba_end // per))
+                rows: list[tuple] = []
+                for k, data in enumerate(image.run(low, max(0, high - low)), low):
+                    rows.append((path, k, k * per, len(data) // size, data))
+                    if len(rows) == BATCH:
                         yield _batch(rows)
+                        rows = []
+                if rows:
+                    yield _batch(rows)
 
     return spread(ranges, ["image_id", "first_chunk"]).select("image_id", "first_chunk", "chunks").mapInArrow(decode, SECTORS)
 
@@ -76,23 +76,12 @@ def read_ranges(requests: DataFrame) -> DataFrame:
     names = [f.name for f in schema.fields]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        image = None
-        try:
-            for batch in batches:
-                at, lba, n = (batch.column(names.index(c)).to_pylist() for c in ("image_id", "lba", "n"))
-                for k in range(0, len(at), BATCH):
-                    out = []
-                    for path, start, count in zip(at[k : k + BATCH], lba[k : k + BATCH], n[k : k + BATCH], strict=True):
-                        if image is None or image.path != path:
-                            if image is not None:
-                                image.close()
-                            image = Image.open(path)
-                        out.append(image.read_sectors(start, count))
-                    part = batch.slice(k, BATCH)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*names, "data"])
-        finally:
-            if image is not None:
-                image.close()
+        for batch in batches:
+            at, lba, n = (batch.column(names.index(c)).to_pylist() for c in ("image_id", "lba", "n"))
+            for k in range(0, len(at), BATCH):
+                out = [Image.shared(path).read_sectors(start, count) for path, start, count in zip(at[k : k + BATCH], lba[k : k + BATCH], n[k : k + BATCH], strict=True)]
+                part = batch.slice(k, BATCH)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*names, "data"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return requests.mapInArrow(read, f"{kinds}, data binary")

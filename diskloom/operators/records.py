@@ -62,18 +62,17 @@ def records(spark: SparkSession, path: str, table: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for image_id, part, start, size, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with Image.open(image_id) as image:
-                    fs = open_volume(image, start, size, kind)
-                    if not isinstance(fs, kinds):
-                        continue
-                    rows: list[tuple] = []
-                    for r in make(fs):
-                        rows.append((image_id, part, *r))
-                        if len(rows) == ROWS:
-                            yield _batch(rows, schema)
-                            rows = []
-                    if rows:
+                fs = open_volume(Image.shared(image_id), start, size, kind)
+                if not isinstance(fs, kinds):
+                    continue
+                rows: list[tuple] = []
+                for r in make(fs):
+                    rows.append((image_id, part, *r))
+                    if len(rows) == ROWS:
                         yield _batch(rows, schema)
+                        rows = []
+                if rows:
+                    yield _batch(rows, schema)
 
     return spread(plan, ["image_id", "part"]).mapInArrow(run, ddl)
 

@@ -130,5 +130,50 @@ def test_cache_is_bounded(tmp_path, monkeypatch):
     path = f"{tmp_path}/x.E01"
     write(path, DISK)
     with Image.open(path) as image:
-        assert b"".join(image.stream(64)) == DISK
+        assert b"".join(image.read_sectors(k, min(64, 300 - k)) for k in range(0, 300, 64)) == DISK
         assert len(image._cache) == 2 and image._held == sum(map(len, image._cache.values()))
+
+
+def test_tables_are_read_in_pages_once(tmp_path, monkeypatch):
+    from diskloom.container import reader
+
+    monkeypatch.setattr(reader, "PAGE_ENTRIES", 3)
+    monkeypatch.setattr(reader, "RUN_BYTES", 40_000)
+    for layout, groups, parts in itertools.product(LAYOUTS, (1, 2), (1, 2)):
+        path = f"{tmp_path}/{layout}{groups}{parts}.E01"
+        write(path, DISK, layout, groups=groups, segments=parts, chunk_sectors=16)
+        with Image.open(path) as image:
+            assert image.pages_read == 0 and image.chunk_total == 19
+            assert b"".join(image.run(0, 19))[: len(DISK)] == DISK
+            read = image.pages_read
+            assert read == sum(-(-t.count // 3) for t in image.tables)
+            assert b"".join(image.run(5, 4)) == DISK[5 * 8192 : 9 * 8192] and image.chunk(17) == DISK[17 * 8192 : 18 * 8192]
+            assert image.pages_read == read
+            assert [int(e) for t in image.tables for e in image.entries(t)] == [int(e) for t in image.tables for k in range(t.count) for e in image.entries(t, k, 1)]
+    with pytest.raises(EvidenceError), Image.open(path) as image:
+        image.chunk(19)
+
+
+def test_a_medium_without_chunks_for_its_sectors_is_an_error(tmp_path):
+    path = f"{tmp_path}/x.E01"
+    write(path, DISK)
+    data = bytearray(open(path, "rb").read())
+    at = data.index(b"volume\0") + DESCRIPTOR
+    data[at + 16 : at + 24] = struct.pack("<Q", 5000)
+    open(path, "wb").write(data)
+    with Image.open(path) as image, pytest.raises(EvidenceError):
+        list(image.stream())
+
+
+def test_images_stay_open_until_they_change(tmp_path):
+    from diskloom.container import reader
+
+    paths = [f"{tmp_path}/{k}.E01" for k in "abc"]
+    for p in paths:
+        write(p, DISK)
+    one = Image.shared(paths[0])
+    assert Image.shared(paths[0]) is one and Image.shared(paths[1]) is not one
+    write(paths[0], DISK[512:])
+    assert Image.shared(paths[0]) is not one and Image.shared(paths[0]).read_sectors(0, 1) == DISK[512:1024]
+    Image.shared(paths[2])
+    assert len(reader._SHARED) == reader.OPEN_IMAGES
