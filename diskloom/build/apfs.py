@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 from diskloom.build.tree import Dir, Disk, File, tree
-from diskloom.fs.apfs import DREC, FILE_EXTENT, INODE, XATTR
+from diskloom.fs.apfs import DREC, FILE_EXTENT, INODE, SYMLINK_FIELD, XATTR
 
 BLOCK = 4096
 
@@ -99,8 +100,8 @@ def _omap(disk: Disk, entries: list[tuple[int, int, int]]) -> int:
     return disk.put((bytes(32) + struct.pack("<IIIIQ", 0, 0, 0, 0, top)).ljust(BLOCK, b"\0"))
 
 
-def build_apfs(files: list[File], label: str = "FIXTURE", packed: dict[str, int] | None = None) -> bytes:
-    """packed: decmpfs type by path."""
+def build_apfs(files: list[File], label: str = "FIXTURE", packed: dict[str, int] | None = None, link_field: Callable[[str], bool] = lambda _: False) -> bytes:
+    """packed: decmpfs type by path; link_field: whether a link's target is in its inode rather than in an attribute."""
     root = tree(files)
     ids = iter(range(16, 1 << 40))
     root.id = 2
@@ -113,11 +114,13 @@ def build_apfs(files: list[File], label: str = "FIXTURE", packed: dict[str, int]
     def key(oid: int, kind: int, rest: bytes = b"") -> bytes:
         return struct.pack("<Q", oid | kind << 60) + rest
 
-    def inode(oid: int, parent: int, private: int, mode: int, t: int, size: int | None) -> None:
+    def inode(oid: int, parent: int, private: int, mode: int, t: int, size: int | None, link: bytes | None = None) -> None:
         ns = t * 1_000_000_000
         value = struct.pack("<QQQQQQQiIIIIIHHQ", parent, private, ns, ns, ns, ns, 0, 1, 0, 0, 0, 0, 0, mode, 0, 0)
         if size is not None:
             value += struct.pack("<HH", 1, 40) + struct.pack("<BBH", 8, 0, 40) + struct.pack("<QQQQQ", size, -(-size // BLOCK) * BLOCK, 0, 0, 0)
+        if link is not None:
+            value += struct.pack("<HH", 1, len(link)) + struct.pack("<BBH", SYMLINK_FIELD, 0, len(link)) + link.ljust(-(-len(link) // 8) * 8, b"\0")
         records.append(((oid, INODE, 0), key(oid, INODE), value))
 
     def attribute(oid: int, name: str, flags: int, data: bytes) -> None:
@@ -138,7 +141,9 @@ def build_apfs(files: list[File], label: str = "FIXTURE", packed: dict[str, int]
             folder(c, d.id)
         for f in d.files.values():
             oid, kind = numbers[id(f)], (packed or {}).get(f.path)
-            if f.link is not None:
+            if f.link is not None and link_field(f.path):
+                inode(oid, d.id, oid, 0xA1ED, f.mtime, None, f.link.encode() + b"\0")
+            elif f.link is not None:
                 inode(oid, d.id, oid, 0xA1ED, f.mtime, None)
                 attribute(oid, "com.apple.fs.symlink", 2, f.link.encode() + b"\0")
             elif kind:

@@ -61,7 +61,8 @@ def summary(kind: str, w: bytes) -> dict[str, str]:
     """What the superblock of a detection-only file system says."""
     if kind == "HFS+":
         size, total, free = struct.unpack_from(">III", w, 1024 + 40)
-        return {"block_size": str(size), "total_blocks": str(total), "free_blocks": str(free), "version": str(struct.unpack_from(">H", w, 1026)[0])}
+        # the last eight bytes of the Finder's information name the volume
+        return {"block_size": str(size), "total_blocks": str(total), "free_blocks": str(free), "version": str(struct.unpack_from(">H", w, 1026)[0]), "uuid": w[1024 + 104 : 1024 + 112].hex()}
     if kind == "SquashFS":
         at = 0 if w[:4] == b"hsqs" else 96
         inodes, made, block = struct.unpack_from("<III", w, at + 4)
@@ -69,7 +70,16 @@ def summary(kind: str, w: bytes) -> dict[str, str]:
     if kind == "F2FS":
         at = 1024 if w[:4] != b"F2FS" else 0
         major, minor = struct.unpack_from("<HH", w, at + 4)
-        return {"version": f"{major}.{minor}"}
+        out = {"version": f"{major}.{minor}"}
+        if at:
+            # sizes as powers of two, counts, then identity, as the format's superblock has them
+            block, segment = struct.unpack_from("<II", w, at + 16)
+            out |= {"block_size": str(1 << block) if block < 32 else "", "blocks_a_segment": str(1 << segment) if segment < 32 else "", "uuid": w[at + 108 : at + 124].hex(), "features": f"0x{struct.unpack_from('<I', w, at + 2180)[0]:08x}"}
+        return out
+    if kind == "ZFS":
+        return {"label": w[0x84:0x8C].split(b"\0")[0].decode("latin-1").strip()}
+    if kind == "JFS":
+        return {"version": str(struct.unpack_from("<I", w, 0x8004)[0]), "block_size": str(struct.unpack_from("<I", w, 0x8010)[0])}
     if kind == "ReFS":
         return {"serial": f"{struct.unpack_from('<Q', w, 0x38)[0]:016x}", "version": f"{w[0x28]}.{w[0x29]}"}
     if kind == "LUKS":
@@ -79,11 +89,15 @@ def summary(kind: str, w: bytes) -> dict[str, str]:
     return {}
 
 
+#: Where the superblocks of software RAID lie: the start of the newer forms, then the places other tools look at.
+RAID_PLACES = (0, 512, 1024, 2048, 4096, 8192, 16384)
+
+
 def raid(window: bytes) -> str | None:
-    """Software or firmware RAID metadata in a window, or None."""
-    for at in (0, 4096, 8192, 16384):
-        if window[at : at + 4] == b"\xfc\x4e\x2b\xa9":
+    """Software or firmware RAID metadata in a window, or None. Beside the superblock's number its name in plain text counts."""
+    for at in RAID_PLACES:
+        if window[at : at + 4] == b"\xfc\x4e\x2b\xa9" or window[at : at + 32].strip(b"\0") == b"Linux RAID":
             return "Linux MD"
-    if b"Intel Raid ISM Cfg Sig." in window:
+    if b"Intel Raid ISM Cfg Sig." in window or window[:13] == b"IntelRaidMgmt":
         return "Intel RST"
-    return "Storage Spaces" if b"SPACEDB " in window[:8192] else None
+    return "Storage Spaces" if b"SPACEDB " in window[:8192] or window[:13] == b"StorageSpaces" else None

@@ -78,6 +78,15 @@ class Fat(FileSystem):
     def block_size(self) -> int:
         return self.cluster
 
+    def info(self) -> dict[str, str]:
+        """What the boot sector says; a volume without a name is called NO NAME there."""
+        b, wide = self.boot, self.bits == 32
+        total = struct.unpack_from("<H", b, 19)[0] or struct.unpack_from("<I", b, 32)[0]
+        each = struct.unpack_from("<H", b, 22)[0] or struct.unpack_from("<I", b, 36)[0]
+        at = 67 if wide else 39
+        told = {"sector_bytes": self.sector, "sectors_a_cluster": self.per, "reserved": struct.unpack_from("<H", b, 14)[0], "copies": b[16], "root_entries": self.root_entries, "total_sectors": total, "sectors_a_fat": each, "root_cluster": self.first_root, "serial": f"{struct.unpack_from('<I', b, at)[0]:08x}", "boot_label": b[at + 4 : at + 15].rstrip(b" \0").decode("cp437") or "NO NAME"}
+        return {k: str(v) for k, v in told.items()}
+
     def place(self, cluster: int) -> int:
         return self.data_at + (cluster - 2) * self.cluster
 

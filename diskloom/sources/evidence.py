@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from diskloom.container.reader import TAGS, Image
+from diskloom.container.reader import PAGE_ENTRIES, TAGS, Image, is_container
 from diskloom.errors import EvidenceError
 from diskloom.fs.detect import raid, summary
 from diskloom.fs.registry import PARSERS, open_volume
@@ -23,6 +23,7 @@ from diskloom.partition.tables import partitions, probe, scheme
 from diskloom.scratch import local
 
 SCHEMAS = {
+    "containers": "image_id string, is_container boolean",
     "segments": "image_id string, seg int, path string, size long, start_off long",
     "sections": "image_id string, seg int, idx int, type string, addr long, next long, size long, checksum long",
     "headers": "image_id string, ord int, kv map<string,string>, case_number string, evidence_number string, examiner string",
@@ -68,8 +69,10 @@ def _hashes(i: Image) -> Iterator[tuple]:
 def _chunks(i: Image) -> Iterator[tuple]:
     per = i.geometry.chunk_sectors
     for t in i.tables:
-        for k, e in enumerate(t.entries.tolist()):
-            n = t.first_chunk + k
+        for k in range(t.count):
+            if k % PAGE_ENTRIES == 0:
+                page = i.entries(t, k, PAGE_ENTRIES).tolist()
+            e, n = page[k % PAGE_ENTRIES], t.first_chunk + k
             yield i.path, t.seg, t.section_idx, k, n, t.base + (e & 0x7FFFFFFF), bool(e >> 31), i.valid_bytes(n), n * per, (n + 1) * per
 
 
@@ -104,7 +107,7 @@ def _volumes(i: Image) -> Iterator[tuple]:
         row = (i.path, p.index, p.start_sector, p.size_sectors, p.filesystem)
         window = probe(i, p.start_sector, p.size_sectors)
         if p.filesystem not in PARSERS:
-            attrs = summary(p.filesystem, window) if len(window) > 1200 else {}
+            attrs = summary(p.filesystem, window) if len(window) >= 4096 else {}
             found = raid(window)
             yield (*row, 0, 0, "", 0, attrs | ({"raid": found} if found else {}), f"no reader for {p.filesystem}")
             continue
@@ -149,6 +152,9 @@ class EvidenceReader(DataSourceReader):
 
     def read(self, partition: Images) -> Iterator[tuple]:
         for path in partition.paths:
+            if self.table == "containers":
+                yield path, is_container(path)
+                continue
             if self.table == "errors":
                 try:
                     with Image.open(path) as image:

@@ -96,7 +96,7 @@ def test_builder_to_parser(kind):
         assert data == bytes(want) and node.size == f.length and node.mtime == f.mtime
 
 
-@pytest.mark.parametrize("kind,name,size", [("Btrfs", "LEAVES_A_SHARE", 1), ("NTFS", "RECORDS_A_SHARE", 7), ("ext4", "GROUPS_A_SHARE", 1)])
+@pytest.mark.parametrize("kind,name,size", [("Btrfs", "LEAVES_A_SHARE", 1), ("NTFS", "RECORDS_A_SHARE", 7), ("APFS", "LEAVES_A_SHARE", 1), ("ext4", "GROUPS_A_SHARE", 1)])
 def test_shares_make_up_the_whole(kind, name, size, monkeypatch):
     import importlib
 
