@@ -21,12 +21,12 @@ from diskloom.functions import binary
 from diskloom.operators import files as ops
 from diskloom.operators import media, partitions
 from diskloom.partition.tables import LINUX_GUID
-from diskloom.plans.evidence import BASE_TIME, images_of, raw_disks, shard_number, shards_of, table, volumes
+from diskloom.plans.evidence import BASE_TIME, IMAGE_BYTES, images_of, raw_disks, shard_number, shards_of, table, volumes
+from diskloom.scratch import materialize
 from diskloom.sources.evidence import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-SHARDS = 4
 
 
 def query(sql: str | None = None):
@@ -40,6 +40,8 @@ def query(sql: str | None = None):
 
 
 _bytes = "octet_length(encode(text))"
+#: How many images the documents are dealt over, as plans.evidence.shards_of has it.
+_shards = f"(SELECT greatest(4, ceil(sum(octet_length(encode(text))) / {IMAGE_BYTES}.0))::BIGINT FROM documents)"
 
 # container
 
@@ -59,7 +61,7 @@ VARIANTS = [
 ]
 
 
-@query("SELECT v.variant, count(*) AS docs, sum(" + _bytes + ") AS bytes, bit_xor(hash_low) AS mark FROM (SELECT *, ('0x' || substr(md5(text), 1, 8))::BIGINT AS hash_low FROM documents WHERE text IS NOT NULL) CROSS JOIN (VALUES " + ", ".join(f"('{v}')" for v, _ in VARIANTS) + ") v(variant) GROUP BY v.variant")
+@query("SELECT v.variant, count(*) AS docs, sum(" + _bytes + ") AS bytes, sum(hash_low)::BIGINT AS mark FROM (SELECT *, ('0x' || substr(md5(text), 1, 8))::BIGINT AS hash_low FROM documents WHERE text IS NOT NULL) CROSS JOIN (VALUES " + ", ".join(f"('{v}')" for v, _ in VARIANTS) + ") v(variant) GROUP BY v.variant")
 def container_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same documents through every layout of the container."""
     docs = table(spark, sf_dir, "documents")
@@ -68,23 +70,23 @@ def container_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, plan = raw_disks(spark, docs, "matrix", **options)
         got = media.read_ranges(media.in_order(plan, ["image_id", "lba"])).select(F.md5(F.expr("substring(data, 1, cast(bytes as int))")).alias("md5"), "bytes")
         mark = F.conv(F.substring("md5", 1, 8), 16, 10).cast("long")
-        one = got.agg(F.count("*").alias("docs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.bit_xor(mark).alias("mark")).select(F.lit(name).alias("variant"), "docs", "bytes", "mark")
+        one = got.agg(F.count("*").alias("docs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(mark), F.lit(0)).alias("mark")).select(F.lit(name).alias("variant"), "docs", "bytes", "mark")
         out = one if out is None else out.unionByName(one)
     return out.where("docs > 0")
 
 
-_sectors = f"SELECT doc_id % {SHARDS} AS shard, sum(greatest(1, ceil({_bytes} / 512.0)))::BIGINT AS sectors FROM documents WHERE text IS NOT NULL GROUP BY 1"
+_sectors = f"SELECT doc_id % {_shards} AS shard, sum(greatest(1, ceil({_bytes} / 512.0)))::BIGINT AS sectors FROM documents WHERE text IS NOT NULL GROUP BY 1"
 
 
 @query(f"SELECT shard, true AS md5_match, true AS sha1_match, sectors * 512 AS bytes_hashed FROM ({_sectors})")
 def image_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, _ = raw_disks(spark, table(spark, sf_dir, "documents"), "verify", shards=SHARDS)
+    folder, _ = raw_disks(spark, table(spark, sf_dir, "documents"), "verify")
     return media.image_hashes(spark, folder).select(shard_number().alias("shard"), "md5_match", "sha1_match", "bytes_hashed")
 
 
 @query(f"SELECT shard, 'case-' || shard AS case_number, 'item-' || shard AS evidence_number, 'examiner' AS examiner, sectors AS sector_count, 512 AS sector_bytes, 64 AS chunk_sectors, ceil(sectors / 64.0)::BIGINT AS chunk_count FROM ({_sectors})")
 def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, _ = raw_disks(spark, table(spark, sf_dir, "documents"), "meta", shards=SHARDS)
+    folder, _ = raw_disks(spark, table(spark, sf_dir, "documents"), "meta")
     heads = load(spark, folder, "headers").where("ord = 0")
     m = load(spark, folder, "media")
     return heads.join(m, "image_id").select(shard_number().alias("shard"), "case_number", "evidence_number", "examiner", "sector_count", F.col("sector_bytes").cast("int").alias("sector_bytes"), F.col("chunk_sectors").cast("int").alias("chunk_sectors"), "chunk_count")
@@ -92,23 +94,27 @@ def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT shard, ceil(sectors / 64.0)::BIGINT AS chunks, ceil(sectors / 64.0)::BIGINT AS compressed, ceil(sectors / 64.0)::BIGINT * 64 AS lba_end, CASE WHEN sectors % 64 = 0 THEN 32768 ELSE sectors % 64 * 512 END AS last_valid_bytes FROM ({_sectors})")
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, _ = raw_disks(spark, table(spark, sf_dir, "documents"), "chunks", shards=SHARDS)
+    folder, _ = raw_disks(spark, table(spark, sf_dir, "documents"), "chunks")
     c = load(spark, folder, "chunks").groupBy(shard_number().alias("shard"))
     return c.agg(F.count("*").alias("chunks"), F.sum(F.col("compressed").cast("long")).alias("compressed"), F.max("lba_end").alias("lba_end"), F.max_by("valid_bytes", "chunk_no").cast("long").alias("last_valid_bytes"))
 
 
-@query(f"SELECT shard, least(200, sectors)::BIGINT - 100 AS sectors FROM ({_sectors}) WHERE sectors > 100")
+_places = f"SELECT doc_id, text, shard, n, sum(n) OVER (PARTITION BY shard ORDER BY doc_id) - n AS lba FROM (SELECT doc_id, text, doc_id % {_shards} AS shard, greatest(1, ceil({_bytes} / 512.0))::BIGINT AS n FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, md5(text) AS md5 FROM ({_places}) WHERE lba >= 100 AND lba + n <= 200")
 def sector_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the chunks under sectors 100 to 199 are decoded."""
-    folder, _ = raw_disks(spark, table(spark, sf_dir, "documents"), "range", shards=SHARDS)
-    got = media.sectors(spark, folder, 100, 200).join(load(spark, folder, "media").select("image_id", "sector_count"), "image_id")
-    held = F.least(F.lit(200), F.col("lba_start") + F.col("n_sectors"), F.col("sector_count")) - F.greatest(F.lit(100), F.col("lba_start"))
-    return got.groupBy(shard_number().alias("shard")).agg(F.sum(held).alias("sectors")).where("sectors > 0")
+    """Documents within sectors 100 to 199 of each image: only the chunks under them are decoded."""
+    folder, plan = raw_disks(spark, table(spark, sf_dir, "documents"), "range")
+    got = media.sectors(spark, folder, 100, 200).groupBy("image_id").agg(F.min("lba_start").alias("first"), F.array_sort(F.collect_list(F.struct("chunk_no", "data"))).alias("c"))
+    held = got.select("image_id", "first", F.aggregate("c", F.lit(b""), lambda s, x: F.concat(s, x["data"])).alias("data"))
+    inside = plan.where((F.col("lba") >= 100) & (F.col("lba") + F.col("n") <= 200)).join(held, "image_id")
+    return inside.select("doc_id", F.md5(F.expr("substring(data, cast((lba - first) * 512 + 1 as int), cast(bytes as int))")).alias("md5"))
 
 
-@query("SELECT type, (n * " + str(SHARDS) + ")::BIGINT AS n FROM (VALUES ('header2', 1), ('header', 1), ('volume', 1), ('disk', 1), ('sectors', 1), ('table', 1), ('table2', 1), ('data', 1), ('digest', 1), ('hash', 1), ('done', 1)) t(type, n)")
+@query(f"SELECT type, n * {_shards} AS n FROM (VALUES ('header2', 1), ('header', 1), ('volume', 1), ('disk', 1), ('sectors', 1), ('table', 1), ('table2', 1), ('data', 1), ('digest', 1), ('hash', 1), ('done', 1)) t(type, n)")
 def section_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, _ = raw_disks(spark, table(spark, sf_dir, "documents"), "chain", shards=SHARDS)
+    folder, _ = raw_disks(spark, table(spark, sf_dir, "documents"), "chain")
     return load(spark, folder, "sections").groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -192,6 +198,7 @@ def fs_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 # file systems
 
 BUILDERS: dict[str, tuple[Callable[[list[File]], bytes], int]] = {
+    "fat12": (partial(build_fat, bits=12, per=16), 0x01),
     "fat16": (partial(build_fat, bits=16, per=8), 0x06),
     "fat32": (partial(build_fat, bits=32, scatter=True), 0x0C),
     "exfat": (build_exfat, 0x07),
@@ -207,6 +214,9 @@ _path_sql = "'/' || lang || '/' || source || '/doc_' || doc_id || '.txt'"
 def _found(spark: SparkSession, sf_dir: str, kind: str, docs: DataFrame | None = None, **options) -> DataFrame:
     build, code = BUILDERS[kind]
     docs = table(spark, sf_dir, "documents") if docs is None else docs
+    if kind == "fat12":
+        # 4,084 clusters of 8 KiB are all that such a volume has
+        options["shards"] = max(4 * shards_of(docs), -(-docs.count() // 1500))
     return ops.nodes(spark, volumes(spark, docs, build, kind, code, **options))
 
 
@@ -226,7 +236,7 @@ def _list(kind: str, has_time: bool):
 def register_lists() -> None:
     from diskloom.fs.registry import PARSERS
 
-    names = {"fat16": "FAT16", "fat32": "FAT32", "exfat": "exFAT", "ntfs": "NTFS", "ext4": "ext4", "xfs": "XFS", "btrfs": "Btrfs", "apfs": "APFS"}
+    names = {"fat12": "FAT12", "fat16": "FAT16", "fat32": "FAT32", "exfat": "exFAT", "ntfs": "NTFS", "ext4": "ext4", "xfs": "XFS", "btrfs": "Btrfs", "apfs": "APFS"}
     for kind in BUILDERS:
         if f"{kind}_list" not in QUERIES:
             _list(kind, PARSERS[names[kind]].list_times)
@@ -256,11 +266,11 @@ def file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.file_ranges(listed, F.lit(100), F.lit(200)).select("path", F.md5("data").alias("md5"))
 
 
-@query(f"SELECT {_path_sql} AS path, unnest(range(0, ({_bytes} + 4095) // 4096)) AS block_no FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT path, block_no, md5(encode(text)[block_no * 4096 + 1 : block_no * 4096 + 4096]) AS md5 FROM (SELECT {_path_sql} AS path, text, unnest(range(0, ({_bytes} + 4095) // 4096)) AS block_no FROM documents WHERE text IS NOT NULL)")
 def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in blocks of 4 KiB, as files of any size are read."""
     listed = ops.files(_found(spark, sf_dir, "fat32"), with_extents=True)
-    return ops.blocks(listed, 4096).where(F.octet_length("data") > 0).select("path", "block_no")
+    return ops.blocks(listed, 4096).where(F.octet_length("data") > 0).select("path", "block_no", F.md5("data").alias("md5"))
 
 
 @query(f"SELECT doc_id, {_bytes} AS size, md5(text) AS md5 FROM documents WHERE text IS NOT NULL")
@@ -313,12 +323,22 @@ def dup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, lag({BASE_TIME} + 2 * doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS previous, sum({_bytes}) OVER (PARTITION BY lang ORDER BY doc_id)::BIGINT AS running FROM documents WHERE text IS NOT NULL")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of each top directory in order of their times, with a running total of bytes."""
+    """Files of each top directory in order of their times, with a running total of bytes.
+
+    Directories are few and large, so rows are range-partitioned by directory and time, numbered within a partition, and shifted by
+    what the earlier partitions hold.
+    """
     from pyspark.sql import Window
 
     listed = ops.regular(ops.files(_found(spark, sf_dir, "ntfs"))).where("name like 'doc_%'")
-    by = Window.partitionBy(binary.split_path(F.col("path"))[0]).orderBy("mod_time_s", "path")
-    return listed.select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("doc_id"), F.lag("mod_time_s").over(by).alias("previous"), F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
+    rows = listed.select(binary.split_path(F.col("path"))[0].alias("top"), F.col("mod_time_s").alias("t"), "path", "size", F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("doc_id"))
+    ranged = materialize(rows.repartitionByRange(media.tasks(spark), "top", "t", "path").withColumn("task", F.spark_partition_id()), "timeline")
+    # a row for each directory and task
+    earlier = Window.partitionBy("top").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    held = ranged.groupBy("top", "task").agg(F.sum("size").alias("bytes"), F.max("t").alias("latest"))
+    held = held.select("top", "task", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"), F.last("latest").over(earlier).alias("last"))
+    by = Window.partitionBy("top", "task").orderBy("t", "path")
+    return ranged.join(F.broadcast(held), ["top", "task"]).select("doc_id", F.coalesce(F.lag("t").over(by), F.col("last")).alias("previous"), (F.col("before") + F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).alias("running"))
 
 
 @query("SELECT 'ntfs' AS fs, 'FIXTURE' AS label, 4096::BIGINT AS block_size UNION ALL SELECT 'ext4', 'FIXTURE', 4096 UNION ALL SELECT 'fat32', 'FIXTURE', 512 UNION ALL SELECT 'exfat', 'FIXTURE', 1024 UNION ALL SELECT 'fat16', 'FIXTURE', 4096 UNION ALL SELECT 'xfs', 'FIXTURE', 4096 UNION ALL SELECT 'btrfs', 'FIXTURE', 4096 UNION ALL SELECT 'apfs', 'FIXTURE', 4096")
@@ -353,7 +373,8 @@ def _links(rows: pd.DataFrame) -> bytes:
 @query("SELECT '/l/s' || s_suppkey AS path, repeat('../target/' || s_name, (1 + 4 * (s_suppkey % 2))::INT) AS target, length(repeat('../target/' || s_name, (1 + 4 * (s_suppkey % 2))::INT))::BIGINT AS size FROM supplier")
 def symlink_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short links lie in the inode, long ones in a block; their content is the target."""
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lit(0).alias("k"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = rows.withColumn("k", F.pmod("s_suppkey", F.lit(max(4, rows.count() // 2000))))
     found = ops.nodes(spark, images_of(spark, rows, "k", _links, "links"))
     return ops.content(ops.files(found, with_extents=True)).select("path", F.decode("data", "UTF-8").alias("target"), "size")
 
@@ -428,3 +449,4 @@ def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register_lists()
+from diskloom.plans import access  # noqa: E402, F401 its queries register themselves
