@@ -15,9 +15,13 @@ _shipped: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary folder of our own only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset a local session gets a temporary folder; on a cluster it is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="diskloom-"))
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="diskloom-"))
 
 
 def _drop(spark: SparkSession, path: str) -> None:
