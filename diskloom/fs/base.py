@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 DIRECTORY, REGULAR, SYMLINK = 0x4000, 0x8000, 0xA000
-MAX_DEPTH = 64
 MAX_FILE = 1 << 40
 MAX_EXTENTS = 1 << 22
 

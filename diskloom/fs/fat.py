@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 
 from diskloom.errors import EvidenceError
-from diskloom.fs.base import DIRECTORY, MAX_DEPTH, REGULAR, Entry, Extent, FileSystem, Node, fit
+from diskloom.fs.base import DIRECTORY, REGULAR, Entry, Extent, FileSystem, Node, fit
 
 MAX_CHAIN = 1 << 22
 MAX_DIRECTORY = 1 << 30
@@ -140,9 +140,9 @@ class Fat(FileSystem):
         return self.boot[at : at + 11].rstrip(b" \0").decode("cp437")
 
     def nodes(self, share: int = 0) -> Iterator[Node]:
-        todo, seen = [(0, 0, 0, None)], {0}
+        todo, seen = [(0, 0, None)], {0}
         while todo:
-            ident, first, depth, slot = todo.pop()
+            ident, first, slot = todo.pop()
             node = Node(ident, DIRECTORY)
             if slot:
                 self._facts(node, slot)
@@ -155,9 +155,11 @@ class Fat(FileSystem):
                     start = struct.unpack_from("<H", s, 20)[0] << 16 | struct.unpack_from("<H", s, 26)[0]
                     start = start if self.bits == 32 else start & 0xFFFF
                     if is_dir:
-                        if depth < MAX_DEPTH and start and start not in seen:
+                        if start and start not in seen:
                             seen.add(start)
-                            todo.append((at, start, depth + 1, s))
+                            todo.append((at, start, s))
+                        else:
+                            yield Node(at, DIRECTORY, error=f"a directory at cluster {start} that is another's")
                         continue
                     yield self._file(at, s, start)
             except EvidenceError as e:

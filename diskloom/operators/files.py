@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from diskloom.container.reader import Image
 from diskloom.errors import EvidenceError
-from diskloom.fs.base import MAX_DEPTH
 from diskloom.fs.codecs import decode as decode_codec
 from diskloom.fs.registry import PARSERS, open_volume
 from diskloom.operators.media import in_order, spread
@@ -101,20 +100,20 @@ def extents(found: DataFrame) -> DataFrame:
     return found.select(*KEY, "file_id", F.explode("extents").alias("e")).select(*KEY, "file_id", "e.*")
 
 
-def paths(found: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def paths(found: DataFrame) -> DataFrame:
     """(image_id, part, parent_path, path, name, entry_ordinal, file_id, is_dir) of all entries reachable from the roots.
 
-    One equi-join a level of the tree, each level written down before the next; the loop ends with the deepest
-    directory, and at `depth` in a tree that loops.
+    One equi-join a level of the tree, each level written down before the next; the loop ends below the deepest
+    directory, however deep. An entry that leads back to a directory above it is left out, as it is damage.
     """
     entries = materialize(dirents(found), "dirents")
-    level = found.select(*KEY, "root_id").distinct().select(*KEY, F.col("root_id").alias("parent_id"), F.lit("").alias("parent_path"))
+    level = found.select(*KEY, "root_id").distinct().select(*KEY, F.col("root_id").alias("parent_id"), F.lit("").alias("parent_path"), F.array("root_id").alias("above"))
     levels: list[DataFrame] = []
-    for _ in range(depth):
-        below = level.join(entries, [*KEY, "parent_id"]).where(~((F.col("parent_id") == F.col("child_id")) & F.col("is_dir")))
-        below = materialize(below.select(*KEY, F.when(F.col("parent_path") == "", "/").otherwise(F.col("parent_path")).alias("parent_path"), F.concat("parent_path", F.lit("/"), "name").alias("path"), "name", "entry_ordinal", F.col("child_id").alias("file_id"), "is_dir"), "paths")
-        levels.append(below)
-        level = below.where("is_dir").select(*KEY, F.col("file_id").alias("parent_id"), F.col("path").alias("parent_path"))
+    while True:
+        below = level.join(entries, [*KEY, "parent_id"]).where(~(F.col("is_dir") & F.array_contains("above", F.col("child_id"))))
+        below = materialize(below.select(*KEY, F.when(F.col("parent_path") == "", "/").otherwise(F.col("parent_path")).alias("parent_path"), F.concat("parent_path", F.lit("/"), "name").alias("path"), "name", "entry_ordinal", F.col("child_id").alias("file_id"), "is_dir", F.when(F.col("is_dir"), F.concat("above", F.array("child_id"))).alias("above")), "paths")
+        levels.append(below.drop("above"))
+        level = below.where("is_dir").select(*KEY, F.col("file_id").alias("parent_id"), F.col("path").alias("parent_path"), "above")
         if not level.head(1):
             break
     out = levels[0]

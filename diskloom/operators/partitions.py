@@ -35,12 +35,12 @@ def gpt_header(heads: DataFrame) -> DataFrame:
     h = heads.withColumn("h", F.substring(F.col("head"), at + 1, F.lit(512))).where(F.substring("h", 1, 8) == F.lit(bytearray(b"EFI PART")))
     b = F.col("h")
     table, size = u64le(b, 72).cast("long"), u32le(b, 84)
-    return h.select("image_id", "sector_bytes", "head", u32le(b, 8).alias("version"), u64le(b, 40).cast("long").alias("first_lba"), u64le(b, 48).cast("long").alias("last_lba"), F.when(table < 2, 2).otherwise(table).alias("table_lba"), F.least(u32le(b, 80), F.lit(MAX_ENTRIES)).alias("number"), F.when(size == 0, 128).otherwise(size).alias("entry_bytes"))
+    return h.select("image_id", "sector_bytes", "head", u32le(b, 8).alias("version"), u64le(b, 40).cast("long").alias("first_lba"), u64le(b, 48).cast("long").alias("last_lba"), F.when(table < 2, 2).otherwise(table).alias("table_lba"), u32le(b, 80).alias("number"), F.when(size == 0, 128).otherwise(size).alias("entry_bytes"))
 
 
 def gpt_entries(heads: DataFrame) -> DataFrame:
-    """Used entries of tables that lie within the head; start 0 and all ones are unused."""
-    h = gpt_header(heads).where((F.col("number") > 0) & (F.col("entry_bytes") >= 80))
+    """Used entries of tables that lie within the head, as those of up to MAX_ENTRIES entries do; a larger table fails the query. Start 0 and all ones are unused."""
+    h = gpt_header(heads).withColumn("number", F.when(F.col("number") <= MAX_ENTRIES, F.col("number")).otherwise(F.raise_error(F.lit("a partition table has more entries than its head holds; read the table partitions")).cast("long"))).where((F.col("number") > 0) & (F.col("entry_bytes") >= 80))
     e = h.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("number") - 1)))
     e = e.withColumn("e", F.substring(F.col("head"), (F.col("table_lba") * F.col("sector_bytes") + F.col("slot") * F.col("entry_bytes") + 1).cast("int"), F.col("entry_bytes").cast("int")))
     b = F.col("e")

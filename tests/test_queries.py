@@ -112,6 +112,37 @@ def test_content_rules(spark, folder):
         ops.search(listed, "/d1", F.lit(True), 12)
 
 
+def test_deep_trees_and_one_parse(spark, tmp_path, monkeypatch):
+    """Directories of any depth are listed, and a manifest parses each volume once."""
+    deep = File("/".join(f"d{k}" for k in range(70)) + "/bottom.txt", b"deep")
+    for code, build in ((0x83, build_ext4), (0x06, lambda f: build_fat(f, 16))):
+        folder = tmp_path / f"c{code}"
+        folder.mkdir()
+        write(f"{folder}/d.E01", mbr_disk([(code, build([deep, *FILES[:3]]))]))
+        parsed = spark.sparkContext.accumulator(0)
+        kind = "ext4" if code == 0x83 else "FAT16"
+        plain = ops.open_volume
+
+        def counted(*a, plain=plain, parsed=parsed):
+            parsed.add(1)
+            return plain(*a)
+
+        monkeypatch.setattr(ops, "open_volume", counted)
+        listed = ops.files(ops.nodes(spark, str(folder)), with_extents=True)
+        got = {r["path"]: r["md5"] for r in ops.manifest(listed).collect()}
+        monkeypatch.setattr(ops, "open_volume", plain)
+        assert got["/" + deep.path] == __import__("hashlib").md5(b"deep").hexdigest() and len(got) == 4, kind
+        assert parsed.value <= load(spark, str(folder), "volumes").first()["shares"], kind
+
+
+def test_large_partition_tables(tmp_path):
+    disk = bytearray(gpt_disk([(tables.LINUX_GUID, "x", bytes(1024))]))
+    struct.pack_into("<I", disk, 512 + 80, 5000)
+    write(f"{tmp_path}/g.E01", bytes(disk))
+    with Image.open(f"{tmp_path}/g.E01") as image, pytest.raises(EvidenceError):
+        tables.partitions(image)
+
+
 def test_holes_of_whole_files(spark, tmp_path):
     write(f"{tmp_path}/h.E01", mbr_disk([(0x83, build_ext4([File("s", parts=[(4096, b"x")], size=5000)]))]))
     listed = ops.files(ops.nodes(spark, str(tmp_path)), with_extents=True)
