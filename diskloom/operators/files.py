@@ -257,9 +257,14 @@ def read_slices(rows: DataFrame, hashes: bool = False) -> DataFrame:
 
 
 def _near(rows: DataFrame) -> DataFrame:
-    """Rows in the order of their place on the disk, so that a task's cache of chunks serves neighbours."""
+    """Rows in the order of their place on the disk, so that a task's cache of chunks serves neighbours.
+
+    They are written down first, as their bytes decide how many tasks there are and their places are sampled.
+    """
     first = F.coalesce(F.try_element_at(F.filter("extents", lambda e: e["kind"] == "data"), F.lit(1))["phys_off"], F.lit(-1))
-    return in_order(rows.withColumn("_at", first), ["image_id", "part", "_at"]).drop("_at")
+    placed = materialize(rows.withColumn("_at", first), "places")
+    total = placed.agg(F.sum(F.least("size", "length"))).first()[0] or 0
+    return in_order(placed, ["image_id", "part", "_at"], total).drop("_at")
 
 
 def regular(listed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from diskloom.container.reader import Image
 from diskloom.errors import EvidenceError
+from diskloom.scratch import materialize
 from diskloom.sources.evidence import load
 
 SECTORS = "image_id string, chunk_no long, lba_start long, n_sectors int, data binary"
@@ -18,19 +19,30 @@ SECTORS = "image_id string, chunk_no long, lba_start long, n_sectors int, data b
 BATCH = 32
 
 
-def tasks(spark: SparkSession) -> int:
-    """How many tasks share small rows that stand for much work: a number, as adaptive plans would join small partitions to one."""
-    return max(8, 3 * spark.sparkContext.defaultParallelism)
+#: Rows of a plan (a range of 256 chunks, a share of a volume, an image) that one task takes at most, about.
+ROWS_A_TASK = 64
+#: Bytes of files that one task reads at most, about.
+BYTES_A_TASK = 512 << 20
+
+
+def tasks(spark: SparkSession, work: int = 0) -> int:
+    """How many tasks share small rows that stand for much work: a number, as adaptive plans would join small partitions to one.
+
+    At least three for each core, and as many as the work asks for, so that a task that is lost costs no more at any size.
+    """
+    return max(8, 3 * spark.sparkContext.defaultParallelism, work)
 
 
 def spread(plan: DataFrame, keys: list[str]) -> DataFrame:
     """Deal the small rows of a plan evenly over tasks; each stands for much work."""
-    return plan.repartition(tasks(plan.sparkSession), *[F.col(k) for k in keys])
+    plan = materialize(plan, "plan")
+    return plan.repartition(tasks(plan.sparkSession, -(-plan.count() // ROWS_A_TASK)), *[F.col(k) for k in keys])
 
 
-def in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], total_bytes: int = 0) -> DataFrame:
     """Deal rows out by ranges of their place, sorted, so that a task's cache of chunks serves neighbours."""
-    return rows.repartitionByRange(tasks(rows.sparkSession), *[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    n = tasks(rows.sparkSession, -(-total_bytes // BYTES_A_TASK))
+    return rows.repartitionByRange(n, *[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
 
 def sectors(spark: SparkSession, path: str, lba_start: int | None = None, lba_end: int | None = None) -> DataFrame:
