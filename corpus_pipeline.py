@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; the next stage works on that, written as Parquet and read
 again. All but the last return the columns of documents.
+
+Every stage takes texts of any length whole, gives no rows for an empty table, and keeps the values of other columns, whatever their
+names. What it does with nulls, ties and repeated rows stands at the stage.
 """
 
 from __future__ import annotations
@@ -16,12 +19,18 @@ from diskloom.llm.common import materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told; those without letters, or with a doubtful language, go."""
+    """Keeps documents whose language is told; those without letters (null and empty texts too), or with a doubtful language, go.
+
+    Languages that tie give a doubtful one of two at most; repeated rows are judged alike; rows with a null id are judged, not learned from.
+    """
     return langid.accept(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts cross-site boilerplate lines from all documents but the first that holds each; documents left with no word go."""
+    """Cuts cross-site boilerplate lines from all documents but the first that holds each; documents left with no word go.
+
+    Null texts and rows with a null id stay as they are; the smallest id keeps a line; repeated rows are edited alike.
+    """
     found = linededup.judge(docs)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     edited = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
@@ -29,17 +38,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """Keeps one document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    The smallest id of a group stays, and of rows that repeat it one; rows without words or with a null id stay.
+    """
     return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
+    """Drops documents that contain a benchmark item. Null and empty texts contain none; repeated rows share their fate."""
     return decontam.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences: one row for each piece."""
+    """Packs the documents' tokens into sequences: one row for each piece. A null text is empty; repeated rows are packed each."""
     return packing.pack(docs)
 
 
