@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diskloom.scratch import materialize, scratch_path
+
+__all__ = ["HEAVY", "gapless_rank", "materialize", "scratch_path", "spread_join", "table", "text_batches", "utf8_bytes"]
 #: A key is heavy if it holds at least one row in HEAVY: so there are never more than HEAVY heavy keys.
 HEAVY = 10_000
-_own: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary folder of our own only where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="diskloom-"))
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is gone; the cluster's own clean-up of its checkpoint folder applies
-        pass
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder in the shared scratch space, removed when the driver ends."""
-    path = f"{scratch_dir(spark)}/diskloom/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
 #: Rows that travel to a Python worker at once where each row holds a whole text.
 TEXT_ROWS = 1024
 
@@ -49,13 +21,6 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, lost executors cost no recomputation."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """left join right on key, safe when few keys hold most rows of left.
 
