@@ -5,14 +5,16 @@ if some region of it is within k = min(error * m, (m - q) / q) edits of the item
 shares at least t = m - q + 1 - k q of the item's q-grams, all on k + 1 neighbouring diagonals (position in the
 document less position in the item). Hits are counted in diagonal bands 2 (k + 1) wide that overlap by half, so one
 band holds them all; bands with t hits are verified by an alignment confined to the band and k diagonals around it.
+Items below `min_chars` characters are too short for edits to mean much: they match word for word, found by an automaton of all of them.
 
 Scale: one map-only pass over the documents for each block of items of at most `block_chars` characters; the block's
 q-gram index (about 20 bytes a character) is broadcast, so its size is bounded whatever the size of the benchmark. A
 bitmap drops most q-grams of a document before the index is searched. Very long texts are taken in overlapping parts.
 
-Defined results: null or empty texts match nothing; items shorter than `min_chars` characters after normalising, and
-null items, match nothing; repeated rows give repeated matches; of repeated items each is reported under its id; null
-ids are carried as null; no column but id and text is read.
+Defined results: null or empty texts match nothing; null items, and those without more than white space, match nothing; very long texts
+are searched whole, in overlapping parts; of equally good places the first is told; repeated rows give repeated matches; of repeated items
+each is reported under its id; null ids are carried as null; no column but id and text is read, whatever their names; an empty table on
+either side gives no match.
 """
 
 from __future__ import annotations
@@ -61,9 +63,22 @@ def budget(m: int, q: int = Q, error: float = ERROR) -> int:
 
 
 class Index:
-    """Sorted q-grams of a block of items."""
-
-    def __init__(self, items: list[tuple[object, str]], q: int = Q, error: float = ERROR):
+    """Sorted q-grams of a block of items, and an automaton of the short ones, whose numbers follow."""
+
+    def __init__(self, items: list[tuple[object, str]], q: int = Q, error: float = ERROR, min_chars: int = 0):
+        brief = [x for x in items if len(x[1]) < max(min_chars, q)]
+        items = [x for x in items if len(x[1]) >= max(min_chars, q)]
+        self.brief = None
+        if brief:
+            import ahocorasick
+
+            self.brief = ahocorasick.Automaton()
+            numbers: dict[str, list[int]] = {}
+            for k, (_, t) in enumerate(brief, len(items)):
+                numbers.setdefault(f" {t} ", []).append(k)
+            for t, found in numbers.items():
+                self.brief.add_word(t, found)
+            self.brief.make_automaton()
         self.q, self.ids, self.texts = q, [i for i, _ in items], [t for _, t in items]
         self.m = np.array([len(t) for t in self.texts], np.int64)
         self.k = np.array([budget(int(m), q, error) for m in self.m], np.int64)
@@ -77,6 +92,7 @@ class Index:
         self.item, self.pos = item[order].astype(np.int32), pos[order].astype(np.int32)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
+        self.ids += [i for i, _ in brief]
 
     def candidates(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, band, hits) of the bands that meet the lemma's bound."""
@@ -141,9 +157,15 @@ def matches(text: str | None, index: Index) -> list[tuple[int, int, int]]:
     if not text or not index.ids:
         return []
     norm = normalise(text)
+    best: dict[int, tuple[int, int]] = {}
+    if index.brief is not None:
+        for end, found in index.brief.iter(f" {norm} "):
+            for item in found:
+                best.setdefault(item, (0, end - 1))
+    if not len(index.m):
+        return [(i, end, edits) for i, (edits, end) in sorted(best.items())]
     whole = codes(norm)
     reach = int((index.m + 4 * index.k + 8).max())
-    best: dict[int, tuple[int, int]] = {}
     for start in range(0, max(1, len(whole) - reach), PART):
         c = whole[start : start + PART + reach]
         verbatim: dict[int, int] = {}
@@ -163,11 +185,11 @@ def matches(text: str | None, index: Index) -> list[tuple[int, int, int]]:
     return [(i, end, edits) for i, (edits, end) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int, min_chars: int) -> Iterator[list[tuple[object, str]]]:
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
     block, chars = [], 0
     for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).toLocalIterator():
         text = normalise(row["t"])
-        if len(text) < min_chars:
+        if not text:
             continue
         if block and chars + len(text) > block_chars:
             yield block
@@ -184,11 +206,11 @@ def _with(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     id_kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = []
-    for block in blocks(benchmark, item_col, item_text_col, block_chars, min_chars):
+    for block in blocks(benchmark, item_col, item_text_col, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, q, error)
+            index = Index(shared.value, q, error, min_chars)
             for whole in batches:
                 for at in range(0, whole.num_rows, 256):
                     batch = whole.slice(at, 256)
@@ -229,13 +251,13 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **opti
     """The rows of docs that contain no item, unchanged. The row itself is the id that the search carries, so nothing is joined."""
     text_batches(docs.sparkSession)
     out = docs
-    q, error = options.get("q", Q), options.get("error", ERROR)
-    for block in blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("block_chars", BLOCK_CHARS), options.get("min_chars", MIN_CHARS)):
+    q, error, min_chars = options.get("q", Q), options.get("error", ERROR), options.get("min_chars", MIN_CHARS)
+    for block in blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("block_chars", BLOCK_CHARS)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         place = docs.columns.index(text_col)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, q, error)
+            index = Index(shared.value, q, error, min_chars)
             for whole in batches:
                 for at in range(0, whole.num_rows, 256):
                     batch = whole.slice(at, 256)
