@@ -2,15 +2,16 @@
 
 Each language has a probability for every piece of one fixed public vocabulary. The probability of a word is the
 sum over all of its segmentations into pieces, computed by a forward pass over its bytes; words are independent,
-so a text's score is the sum of the log probabilities of its words. The piece probabilities are fitted by
+so a text's score is the sum of the log probabilities of its words. Words of any length are taken whole: where a
+forward sum would underflow it is scaled, and long words are walked in stretches. The piece probabilities are fitted by
 expectation-maximisation (forward-backward) on word counts of a bounded sample of labelled rows.
 
 Scale: fitting sees at most about `rows_per_language` documents a language; its tables are (language, word) counts
 that Spark aggregates, and only (language, piece) sums, at most vocabulary * languages numbers, reach the driver.
 Scoring is one map-only pass: nothing is shuffled, and a worker scores each distinct word once while it is cached.
 
-Defined results: null text or text without a letter gives `und` with score 0; no labelled row at all makes every
-prediction `und`; ties go to the language that sorts first; repeated rows are scored alike; columns other than
+Defined results: null text or text without a letter gives `und` with score 0; no labelled row at all (or an empty table) makes every
+prediction `und`; ties go to the language that sorts first; very long texts are scored whole; repeated rows are scored alike; columns other than
 the id, text and label are ignored, so clashing names cannot matter. A null id is never learned from.
 """
 
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 from diskloom.llm.common import materialize, text_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST_PIECE = 16
-#: Longer runs of letters are scored in parts, so that probabilities do not underflow.
-LONGEST_WORD = 48
+#: Runs of letters are learned from in parts of this many letters; they are scored whole.
+LEARNED_LETTERS = 48
+#: Words of more bytes are walked alone, in stretches of so many.
+LONG_WORD = 2048
+#: Forward sums below TINY are multiplied by its inverse, which is taken off their logarithm.
+TINY = 1e-150
 CACHE = 300_000
 
 
@@ -47,28 +51,33 @@ def load_pieces(path: str) -> list[bytes]:
     pieces |= {bytes([b]) for b in range(256)}
     # text is lower-cased and split into words first, so other pieces than these can't occur
     usable = re.compile(rb" ?[^\x00-@A-Z\[-`{-\x7f]+|[\x00-\xff]", re.DOTALL)
-    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE and usable.fullmatch(p))
+    return sorted(p for p in pieces if usable.fullmatch(p))
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in found):
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    return LETTERS.findall(text.lower())
+
+
+def parts_of(words: list[str]) -> list[str]:
+    """Words cut where they are longer than what is learned from."""
+    return [w[i : i + LEARNED_LETTERS] for w in words for i in range(0, len(w), LEARNED_LETTERS)]
 
 
 def forward(word: str, probability: dict[bytes, tuple[float, ...]], k: int) -> list[float]:
-    """Log probability of a word in each of k languages, summed over all segmentations."""
-    b = b" " + word.encode("utf-8", "replace")
-    alpha = [(1.0,) * k]
+    """Log probability of a word in each of k languages, summed over all segmentations, in exact fractions: for tests."""
+    from fractions import Fraction
+    from math import log
+
+    b, longest = b" " + word.encode("utf-8", "replace"), max(map(len, probability))
+    alpha = [[Fraction(1)] * k]
     for j in range(1, len(b) + 1):
-        total = [0.0] * k
-        for i in range(max(0, j - LONGEST_PIECE), j):
+        total = [Fraction(0)] * k
+        for i in range(max(0, j - longest), j):
             p = probability.get(b[i:j])
             if p is not None:
-                total = [t + a * q for t, a, q in zip(total, alpha[i], p, strict=True)]
-        alpha.append(tuple(total))
-    return list(np.log(np.maximum(alpha[-1], 1e-300)))
+                total = [t + a * Fraction(q) for t, a, q in zip(total, alpha[i], p, strict=True)]
+        alpha.append(total)
+    return [log(t.numerator) - log(t.denominator) if t else -700.0 for t in alpha[-1]]
 
 
 class Pieces:
@@ -78,6 +87,7 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes]):
         h = np.array([self.hash_of(p) for p in pieces], np.uint64)
+        self.longest = max(map(len, pieces), default=1)
         self.order = np.argsort(h)
         self.keys = h[self.order]
         if (self.keys[1:] == self.keys[:-1]).any():
@@ -99,7 +109,7 @@ class Pieces:
         """(start, length, piece number) of every piece within its word; left: bytes from each place to its word's end."""
         starts, lengths, numbers = [], [], []
         at, h = np.arange(len(flat)), np.zeros(len(flat), np.uint64)
-        for n in range(1, LONGEST_PIECE + 1):
+        for n in range(1, self.longest + 1):
             inside = left[at] >= n
             at, h = at[inside], h[inside]
             if not len(at):
@@ -124,8 +134,31 @@ class Model:
 
 
 def forward_all(words: list[str], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
-    """The results of forward() for many words: a row for each, a column for each language."""
+    """The log probabilities of many words: a row for each, a column for each language."""
     coded = [b" " + w.encode("utf-8", "replace") for w in words]
+    out = np.zeros((len(words), probability.shape[1]))
+    short = [k for k, b in enumerate(coded) if len(b) <= LONG_WORD]
+    if short:
+        out[short] = _forward([coded[k] for k in short], pieces, probability)
+    for k, b in enumerate(coded):
+        if len(b) > LONG_WORD:
+            out[k] = _forward_long(b, pieces, probability)
+    return out
+
+
+def _steps(source: np.ndarray, target: np.ndarray, number: np.ndarray, step: np.ndarray, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Edges by the byte they end at: (sources, pieces, the states they lead to, the first edge of each)."""
+    order = np.lexsort((target, step))
+    source, target, number, step = source[order], target[order], number[order], step[order]
+    bounds = np.searchsorted(step, np.arange(1, last + 2))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if a < b:
+            into = target[a:b]
+            heads = np.flatnonzero(np.append(True, into[1:] != into[:-1]))
+            yield source[a:b], number[a:b], into[heads], heads
+
+
+def _forward(coded: list[bytes], pieces: Pieces, probability: np.ndarray) -> np.ndarray:
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     flat = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
     ends = np.cumsum(sizes)
@@ -134,26 +167,52 @@ def forward_all(words: list[str], pieces: Pieces, probability: np.ndarray) -> np
     # word w's states are its byte places and one past them: state = place + w
     first = ends - sizes
     source = start + word[start]
-    target = source + length
-    step = start + length - first[word[start]]
-    order = np.lexsort((target, step))
-    source, target, number, step = source[order], target[order], number[order], step[order]
     alpha = np.zeros((len(flat) + len(coded), probability.shape[1]))
-    alpha[first + np.arange(len(coded))] = 1.0
-    bounds = np.searchsorted(step, np.arange(1, int(sizes.max()) + 2))
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if a < b:
-            into = target[a:b]
-            heads = np.flatnonzero(np.append(True, into[1:] != into[:-1]))
-            alpha[into[heads]] = np.add.reduceat(alpha[source[a:b]] * probability[number[a:b]], heads, axis=0)
-    return np.log(np.maximum(alpha[ends + np.arange(len(coded))], 1e-300))
-
-
-def expected_counts(word: str, n: float, p: dict[bytes, float], out: dict[bytes, float]) -> None:
+    begin = first + np.arange(len(coded))
+    alpha[begin] = 1.0
+    scale = np.zeros((len(coded), probability.shape[1]))
+    of = np.repeat(np.arange(len(coded)), sizes + 1)
+    for src, num, into, heads in _steps(source, source + length, number, start + length - first[word[start]], int(sizes.max())):
+        new = np.add.reduceat(alpha[src] * probability[num], heads, axis=0)
+        alpha[into] = new
+        low = (new > 0) & (new < TINY)
+        if low.any():
+            # all states that later ones are reached from are scaled together
+            for at, lang in zip(*np.nonzero(low), strict=True):
+                state = into[at]
+                alpha[max(begin[of[state]], state - pieces.longest) : state + 1, lang] /= TINY
+                scale[of[state], lang] += np.log(TINY)
+    return np.log(np.maximum(alpha[ends + np.arange(len(coded))], 1e-300)) + scale
+
+
+def _forward_long(b: bytes, pieces: Pieces, probability: np.ndarray) -> np.ndarray:
+    """The same for one word, a stretch of LONG_WORD bytes after another; only the last states go from one to the next."""
+    k, reach = probability.shape[1], pieces.longest
+    alpha, scale = np.zeros((1, k)), np.zeros(k)
+    alpha[0] = 1.0
+    for at in range(0, len(b), LONG_WORD):
+        flat = np.frombuffer(b[at : at + LONG_WORD + reach], np.uint8).astype(np.uint64)
+        start, length, number = pieces.edges(flat, len(flat) - np.arange(len(flat)))
+        inside = start < LONG_WORD
+        start, length, number = start[inside], length[inside], number[inside]
+        # states 0 to LONG_WORD + reach of this stretch; what earlier pieces gave its first ones is there already
+        held = np.zeros((len(flat) + 1, k))
+        held[: len(alpha)] = alpha[: len(held)]
+        for src, num, into, heads in _steps(start, start + length, number, start + length, len(flat)):
+            held[into] += np.add.reduceat(held[src] * probability[num], heads, axis=0)
+            low = (held[into[0]] > 0) & (held[into[0]] < TINY)
+            if low.any():
+                held[max(0, into[0] - reach) :, low] /= TINY
+                scale[low] += np.log(TINY)
+        alpha = held[LONG_WORD:] if len(b) > at + LONG_WORD else held[-1:]
+    return np.log(np.maximum(alpha[-1], 1e-300)) + scale
+
+
+def expected_counts(word: str, n: float, p: dict[bytes, float], out: dict[bytes, float], longest: int | None = None) -> None:
     """Add n times the expected number of uses of each piece in a random segmentation of the word."""
     b = b" " + word.encode("utf-8", "replace")
-    m = len(b)
-    spans = [(i, j, b[i:j], q) for j in range(1, m + 1) for i in range(max(0, j - LONGEST_PIECE), j) if (q := p.get(b[i:j]))]
+    m, longest = len(b), longest or max(map(len, p))
+    spans = [(i, j, b[i:j], q) for j in range(1, m + 1) for i in range(max(0, j - longest), j) if (q := p.get(b[i:j]))]
     alpha, beta = [1.0] + [0.0] * m, [0.0] * m + [1.0]
     for i, j, _, q in spans:
         alpha[j] += alpha[i] * q
@@ -195,7 +254,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    seen.update((lang, w) for w in words_of(text))
+                    seen.update((lang, w) for w in parts_of(words_of(text)))
             yield pa.RecordBatch.from_pydict({"l": [k[0] for k in seen], "w": [k[1] for k in seen], "n": pa.array(list(seen.values()), pa.int64())})
 
     words = materialize(sample.mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "langid-words")
@@ -206,11 +265,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, langs, table = shared.value
+            longest = max(map(len, names))
             model = {x: dict(zip(names, table[:, k].tolist(), strict=True)) for k, x in enumerate(langs)}
             sums: dict[str, dict[bytes, float]] = {x: {} for x in langs}
             for batch in batches:
                 for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    expected_counts(word, n, model[lang], sums[lang])
+                    expected_counts(word, n, model[lang], sums[lang], longest)
             for lang, got in sums.items():
                 yield pa.RecordBatch.from_pydict({"l": pa.array([lang] * len(got), pa.string()), "p": pa.array(list(got), pa.binary()), "c": pa.array(list(got.values()), pa.float64())})
 
