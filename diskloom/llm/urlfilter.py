@@ -12,7 +12,9 @@ rows; beyond that it is an ordinary join. Candidates are matched in place, keyed
 carries ids of urls with a matching rule only.
 
 Defined results: null url or one without `://` has empty host and path and is allowed unless a pattern matches
-(a null url never matches); repeated rows get the same verdict each; rows with a null id are judged too.
+(a null url never matches); urls of any length are judged whole; of fitting rules of one length the
+greatest (verdict, host, path) decides; repeated rows get the same verdict each; rows with a null id are judged too; an empty table gives no rows; only id and
+url are read, whatever the names of other columns.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from diskloom.llm.common import materialize, spread_join
 
 #: (verdict, host, path)
 HOST_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: (verdict, regular expression over the lower-cased url, tokens of [a-z0-9]+ that a match contains as whole tokens)
+#: (verdict, regular expression over the lower-cased url, tokens of [a-z0-9]+ that a match contains as whole tokens; a|b: one of them at least)
 PATTERN_RULES = [
     ("block", r"://([^/?#]*\.)?spam-farm\.", ["spam", "farm"]),
     ("block", r"://([^/?#]*\.)?cheap-pills\.", ["cheap", "pills"]),
@@ -33,7 +35,7 @@ PATTERN_RULES = [
     ("block", r"[?&]utm_source=(ads|banner)(&|#|$)", ["utm", "source"]),
     ("block", r"/(wp-login|wp-admin)\b", ["wp"]),
     ("block", r"/cgi-bin/", ["cgi", "bin"]),
-    ("block", r"[?&](session_id|phpsessid)=", []),
+    ("block", r"[?&](session_id|phpsessid)=", ["session|phpsessid"]),
     ("allow", r"://([^/?#]*\.)?adult-x\.[^/]+/en/education/", ["adult", "x", "education"]),
 ]
 BROADCAST_RULES = 100_000
@@ -62,11 +64,16 @@ def tokens(url: Column) -> Column:
 
 
 def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """rules (rule_id, verdict, pattern, literals) with the token that fewest urls contain; null where a rule has none."""
-    wanted = rules.select(F.explode("literals").alias("token")).distinct()
+    """rules (rule_id, verdict, pattern, literals) with the token that fewest urls contain; null where a rule has none.
+
+    Tokens of which a match has one at least count together, and give the rule a row each.
+    """
+    alternatives = rules.select("rule_id", F.explode("literals").alias("literal")).select("rule_id", "literal", F.explode(F.split("literal", "\\|")).alias("token"))
+    wanted = alternatives.select("token").distinct()
     seen = urls.select(F.explode(tokens(F.col("url"))).alias("token")).join(F.broadcast(wanted) if rules.count() <= BROADCAST_RULES else wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = rules.select("*", F.explode_outer("literals").alias("token")).join(seen, "token", "left").groupBy("rule_id", "verdict", "pattern").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    return ranked
+    sums = alternatives.join(seen, "token", "left").groupBy("rule_id", "literal").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    rarest = sums.groupBy("rule_id").agg(F.min_by("literal", F.struct("n", "literal")).alias("literal"))
+    return rules.join(rarest, "rule_id", "left").select("rule_id", "verdict", "pattern", F.explode_outer(F.split("literal", "\\|")).alias("token"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules: list[tuple[str, str, str]] | None = None, pattern_rules: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
@@ -85,7 +92,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_
     by_token = urls.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(held(index.where(F.col("token").isNotNull()).withColumnRenamed("token", "_t")), F.col("token") == F.col("_t"))
     matched = by_token.where(F.expr("rlike(lower(url), pattern)")).select("url", "rule_id", "verdict")
     for k, (verdict, pattern, literals) in enumerate(pattern_rules):
-        if not literals:  # no token to look up: these run on every url
+        if not literals:  # none in the list above: such a rule runs on every url
             matched = matched.unionByName(urls.where(F.lower("url").rlike(pattern)).select("url", F.lit(k).alias("rule_id"), F.lit(verdict).alias("verdict")))
     found = matched.groupBy("url").agg(F.sort_array(F.collect_set("rule_id")).alias("matched"), F.max((F.col("verdict") == "allow").cast("int")).alias("allowed"))
     # a hot url is met by broadcast; the weights of the few matched urls say which are hot
