@@ -2,23 +2,25 @@ r"""Secret scanning: fixed patterns, then a battery of randomness tests on long
 
 Base kinds, leftmost and non-overlapping each: `assign` (a password-like name, a separator and a value of 8 or more
 characters), `access` (AKIA and capitals or digits, 16 or more) and `hex` (32 or more lower-case hex digits).
-Added kind `random`: a maximal run of `[A-Za-z0-9+/_-]` of 20 or more characters with a digit and a letter, whose
+Added kind `random`: a maximal run of `[A-Za-z0-9+/_-]` of 16 or more characters (fewer say nothing) with a digit and a letter, whose
 characters look drawn at random from the alphabet of its inferred encoding (hex, base32, base36 or base64):
 
 * chi-squared uniformity over groups of the alphabet (as many groups as keep five expected characters in each);
 * runs above and below the middle of the alphabet (Wald-Wolfowitz);
 * serial correlation of neighbouring characters (lag 1).
 
-Each gives a p-value for "random"; three times the least is the token's p-value. Which tokens are *not* random is decided by
-Benjamini-Hochberg at level `fdr`, separately for each encoding and length class, as short tokens have little
-power; a token that stays undiscovered is reported as a secret if its text holds both digits and letters in a
-mix that random characters would give. The step-up thresholds need only counts of p-values on a grid, so a table
+Each gives a p-value for "random"; three times the least is the token's p-value. Tokens that Benjamini-Hochberg at level `fdr` finds not to be
+random are never reported. What is reported is a discovery that the token is random, so the share of false ones among the reports is
+controlled too. Both are done separately for each encoding and length class, as short tokens have little power: tokens above `LAMBDA` are taken for random, and random tokens are as many below it as their share; what lies below it beyond that is not
+random. The threshold of a class is the least at which tokens above it hold at most `fdr` of those: a lone token is reported from LAMBDA on,
+and where random tokens abound, lower ones are too. Thresholds need only counts of p-values on a grid, so a table
 of at most encodings * length classes * GRID rows decides for the whole corpus.
 
 Scale: two map-only passes over the text; what is shuffled is the counts of p-values.
 
-Defined results: null text counts as empty; repeated rows and null ids are scanned like any other; other columns
-are not read. Offsets are code points, ends exclusive.
+Defined results: null text counts as empty; an empty table gives no rows; texts and tokens of any length are tested whole; where tokens tie at a
+threshold they are judged alike; repeated rows and null ids are scanned like any other; other columns are not read, whatever their
+names. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE]
 #: A run of one class is maximal, so asking for the length in the pattern drops what would fail and nothing else.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 GRID = 10_000
 FDR = 0.05
+#: On the grid: tokens with larger p-values are taken for random.
+LAMBDA = 2_500
 
 
 def let(value: Column, body) -> Column:
@@ -77,13 +81,13 @@ def base_spans(text: Column) -> dict[str, Column]:
 def encoding_of(token: Column) -> Column:
     """Null if and only if the token has no digit or no letter: words and numbers are not tested.
 
-    Hex and base36 are in one case, with separators - and _ left out where 20 characters remain; all else is base64.
+    Hex and base36 are in one case, with separators - and _ left out where 16 characters remain; all else is base64.
     """
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
 
     def known(bare: Column) -> Column:
         found = F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(bare.rlike("^[A-Z2-7]+$"), "base32").when(bare.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").otherwise("base64")
-        return F.when(F.length(bare) >= 20, found).otherwise("base64")
+        return F.when(F.length(bare) >= 16, found).otherwise("base64")
 
     return F.when(mixed, let(F.translate(token, "-_", ""), known))
 
@@ -137,7 +141,7 @@ def battery(token: Column, encoding: Column) -> Column:
 
 
 def length_class(n: Column) -> Column:
-    return F.when(n < 24, 0).when(n < 32, 1).when(n < 48, 2).when(n < 96, 3).otherwise(4)
+    return F.when(n < 20, 0).when(n < 24, 1).when(n < 32, 2).when(n < 48, 3).when(n < 96, 4).otherwise(5)
 
 
 def tested(text: Column) -> Column:
@@ -148,7 +152,7 @@ def tested(text: Column) -> Column:
 
 
 def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[tuple[str, int], int]:
-    """For each encoding and length class the largest grid value at which Benjamini-Hochberg rejects, or -1.
+    """For each encoding and length class the grid value above which tokens are reported, or -1 for all.
 
     Counted over all documents; the table collected has encodings * classes rows.
     """
@@ -157,9 +161,17 @@ def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dic
     one = docs.where(F.col(text_col).rlike(TOKEN)).select(F.explode(tested(F.col(text_col))).alias("t"))
     counts = one.groupBy("t.encoding", "t.size", "t.p").agg(F.count("*").alias("n"))
     by = Window.partitionBy("encoding", "size")
-    ranked = counts.withColumn("upto", F.sum("n").over(by.orderBy("p"))).withColumn("m", F.sum("n").over(by))
-    passed = ranked.where((F.col("p") + 1) * F.col("m") <= F.lit(fdr * GRID) * F.col("upto"))
-    return {(r["encoding"], r["size"]): r["p"] for r in passed.groupBy("encoding", "size").agg(F.max("p").alias("p")).collect()}
+    low = F.col("p") <= LAMBDA
+    sums = counts.select("encoding", "size", "p", F.sum("n").over(by.orderBy("p")).alias("upto"), F.sum("n").over(by).alias("m"), F.coalesce(F.sum(F.when(low, F.col("n"))).over(by), F.lit(0)).alias("low"))
+    # nothing rejected is a candidate too
+    none = sums.select("encoding", "size", F.lit(-1).alias("p"), F.lit(0).cast("long").alias("upto"), "m", "low").distinct()
+    tried = sums.where(low).unionByName(none)
+    # false ones above p: those up to LAMBDA but for the share of the random ones, (m - low) / (1 - LAMBDA), that is due there
+    false = (F.col("low") - F.col("upto")) * (GRID - LAMBDA) - (F.col("m") - F.col("low")) * (LAMBDA - 1 - F.col("p"))
+    passed = tried.where(false <= F.round((F.col("m") - F.col("upto")) * ((GRID - LAMBDA) * fdr)))
+    refused = sums.where((F.col("p") + 1) * F.col("m") <= F.lit(fdr * GRID) * F.col("upto")).groupBy("encoding", "size").agg(F.max("p").alias("refused"))
+    least = passed.groupBy("encoding", "size").agg(F.min("p").alias("p")).join(refused, ["encoding", "size"], "left")
+    return {(r["encoding"], r["size"]): max(r["p"], -1 if r["refused"] is None else r["refused"]) for r in least.collect()}
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:

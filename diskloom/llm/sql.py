@@ -50,10 +50,11 @@ s AS MATERIALIZED (
   UNION ALL SELECT rid, 3, unnest({_spans(secrets.TOKEN, "random")}) FROM d WHERE regexp_matches(t, '{secrets.TOKEN}')),
 b AS (SELECT rid, r, m.k AS kind, m.s AS a, m.s + length(m.v) AS z FROM s WHERE r IN (1, 2) OR (r = 0 AND length(regexp_extract(m.v, '{secrets.ASSIGN.replace("'", "''")}', 2)) >= 8)),
 tok AS (SELECT row_number() OVER () AS tid, rid, m.s AS a, m.v AS v FROM s WHERE r = 3 AND regexp_matches(m.v, '[0-9]') AND regexp_matches(m.v, '[A-Za-z]')),
-enc AS (SELECT *, CASE WHEN regexp_full_match(v, '[0-9a-f]+') THEN 'hex' WHEN regexp_full_match(v, '[A-Z2-7]+') THEN 'base32' WHEN regexp_full_match(v, '[0-9a-z]+') THEN 'base36' WHEN regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') THEN 'base64' END AS encoding FROM tok),
-cls AS (SELECT tid, rid, a, v, encoding, {alphabet} AS al, length(v) AS n, CASE WHEN length(v) < 24 THEN 0 WHEN length(v) < 32 THEN 1 WHEN length(v) < 48 THEN 2 WHEN length(v) < 96 THEN 3 ELSE 4 END AS size FROM enc WHERE encoding IS NOT NULL),
-dim AS (SELECT *, length(al) AS k, least(length(al), greatest(2, n // 5)) AS g FROM cls),
-ch AS (SELECT tid, n, k, g, i, strpos(al, substr(translate(v, '-_', '+/'), i, 1)) - 1 AS x FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM dim)),
+enc AS (SELECT *, CASE WHEN length(bare) < 16 THEN 'base64' WHEN regexp_full_match(bare, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(bare, '[A-Z2-7]+') THEN 'base32' WHEN regexp_full_match(bare, '[0-9a-z]+|[0-9A-Z]+') THEN 'base36' ELSE 'base64' END AS encoding FROM (SELECT *, translate(v, '-_', '') AS bare FROM tok)),
+cls AS (SELECT tid, rid, a, v, encoding, {alphabet} AS al, length(v) AS len, CASE WHEN encoding IN ('hex', 'base36') THEN lower(translate(v, '-_', '+/')) ELSE translate(v, '-_', '+/') END AS f, CASE WHEN length(v) < 20 THEN 0 WHEN length(v) < 24 THEN 1 WHEN length(v) < 32 THEN 2 WHEN length(v) < 48 THEN 3 WHEN length(v) < 96 THEN 4 ELSE 5 END AS size FROM enc),
+pos AS (SELECT * FROM (SELECT tid, length(al) AS k, i, strpos(al, substr(f, i, 1)) - 1 AS x FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM cls)) WHERE x >= 0),
+dim AS (SELECT tid, n, k, least(k, greatest(2, n // 5)) AS g FROM (SELECT tid, count(*) AS n, any_value(k) AS k FROM pos GROUP BY tid)),
+ch AS (SELECT tid, n, k, g, i, x FROM pos JOIN dim USING (tid, k)),
 mom AS (SELECT tid, any_value(n) AS n, sum(x)::DOUBLE / any_value(n) AS mean, sum((x * 2 >= k)::INT)::INT AS n1 FROM ch GROUP BY tid),
 nxt AS (SELECT ch.*, lead(x) OVER (PARTITION BY tid ORDER BY i) AS y FROM ch),
 ser AS (SELECT nxt.tid, sum((x - mean) * (x - mean)) AS var, sum((x - mean) * (y - mean)) AS cov, 1 + sum(((x * 2 >= k) <> (y * 2 >= k))::INT) AS runs, any_value(mom.n) AS n, any_value(n1) AS n1, any_value(mom.n) - any_value(n1) AS n0 FROM nxt JOIN mom USING (tid) GROUP BY nxt.tid),
@@ -63,11 +64,14 @@ chi AS (SELECT c.tid, any_value(g) AS g, sum(pow(coalesce(o, 0) - e, 2) / e) AS
 zs AS (SELECT tid, (pow(chi / (g - 1), 1.0 / 3) - (1 - 2.0 / (9 * (g - 1)))) / sqrt(2.0 / (9 * (g - 1))) AS zc,
   n0, n1, abs(runs - (1 + 2.0 * n1 * n0 / n)) / sqrt(greatest(2.0 * n1 * n0 * (2.0 * n1 * n0 - n) / (n * n * (n - 1.0)), 1e-9)) AS zr, var, abs((cov / nullif(var, 0) + 1.0 / n) * sqrt(n)) AS zl FROM chi JOIN ser USING (tid)),
 ps AS (SELECT tid, floor(least(1.0, 3 * least(1 / {logistic("zc")}, CASE WHEN n0 = 0 OR n1 = 0 THEN 0 ELSE 2 / {logistic("zr")} END, CASE WHEN var <= 0 THEN 0 ELSE 2 / {logistic("zl")} END)) * {secrets.GRID})::INT AS p FROM zs),
-al AS (SELECT * FROM dim JOIN ps USING (tid)),
+al AS (SELECT tid, rid, a, len, encoding, size, p FROM cls JOIN ps USING (tid)),
 cnt AS (SELECT encoding, size, p, count(*) AS c FROM al GROUP BY ALL),
-rk AS (SELECT *, sum(c) OVER (PARTITION BY encoding, size ORDER BY p) AS upto, sum(c) OVER (PARTITION BY encoding, size) AS m FROM cnt),
-cut AS (SELECT encoding, size, max(p) AS p FROM rk WHERE (p + 1) * m <= {secrets.FDR * secrets.GRID} * upto GROUP BY ALL),
-extra AS (SELECT rid, 3 AS r, 'random' AS kind, a, a + n AS z FROM al LEFT JOIN cut USING (encoding, size) WHERE cut.p IS NULL OR al.p > cut.p),
+tot AS (SELECT encoding, size, sum(c) AS m, coalesce(sum(c) FILTER (p <= {secrets.LAMBDA}), 0) AS low FROM cnt GROUP BY ALL),
+cand AS (SELECT encoding, size, p, sum(c) OVER (PARTITION BY encoding, size ORDER BY p) AS upto FROM cnt UNION ALL SELECT encoding, size, -1, 0 FROM tot),
+bh AS (SELECT encoding, size, max(p) AS p FROM cand JOIN tot USING (encoding, size) WHERE (p + 1) * m <= {secrets.FDR * secrets.GRID} * upto GROUP BY ALL),
+few AS (SELECT encoding, size, min(p) AS p FROM cand JOIN tot USING (encoding, size) WHERE p <= {secrets.LAMBDA} AND (low - upto) * {secrets.GRID - secrets.LAMBDA} - (m - low) * ({secrets.LAMBDA - 1} - p) <= round((m - upto) * {(secrets.GRID - secrets.LAMBDA) * secrets.FDR}) GROUP BY ALL),
+cut AS (SELECT encoding, size, greatest(few.p, coalesce(bh.p, -1)) AS p FROM few LEFT JOIN bh USING (encoding, size)),
+extra AS (SELECT rid, 3 AS r, 'random' AS kind, a, a + len AS z FROM al JOIN cut USING (encoding, size) WHERE al.p > cut.p),
 every AS (SELECT * FROM b UNION ALL SELECT * FROM extra),
 agg AS (SELECT rid, count(*) FILTER (r = 0) AS n_assign, count(*) FILTER (r = 1) AS n_access, count(*) FILTER (r = 2) AS n_hex,
   string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, r) FILTER (r < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, r) AS spans FROM every GROUP BY rid)
