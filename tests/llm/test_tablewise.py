@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from diskloom.llm import decontam, linededup, neardup, packing, shards, warc
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, a string, hub string, first long"
+CLASHES = ["_id", "_gone", "_left", "_n_lines", "_n_removed", "_hit", "row", "th", "component", "shard", "size", "left", "gone", "i", "t", "block"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, a string, hub string, first long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 def make(spark, rows):
     """Rows (doc_id, text, source) with extra columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", "y", "z", 9) for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", "y", "z", 9, *(f"own {c}" for c in CLASHES)) for i, t, s in rows], DOCS)
+
+
+def own_values(rows):
+    """Every row still has the values of the columns that clash with names inside the operators."""
+    return all(r["id"] == "x" and r["first"] == 9 and all(r[c] == f"own {c}" for c in CLASHES) for r in rows)
 
 
 def rows_of(rnd, n, words=40, vocabulary=400):
@@ -53,8 +59,8 @@ def test_line_dedup(spark):
     rows = [(k, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 6))), rnd.choice(["a", "b", "c", "d", None])) for k in range(80)]
     rows += [(100, None, "a"), (101, "", None), (None, lines[0] + "\n" + lines[1], "a"), (rows[3][0], rows[3][1], rows[3][2]), (102, "\n".join(lines * 400), "e")]
     got = linededup.remove_boilerplate(make(spark, rows))
-    assert got.columns[:9] == make(spark, rows).columns
-    assert sorted([(r["doc_id"], r["text"], r["_n_lines"], r["_n_removed"]) for r in got.collect()], key=repr) == brute_lines(rows)
+    assert got.columns == [*make(spark, rows).columns, "__n_lines", "__n_removed"] and own_values(got.collect())
+    assert sorted([(r["doc_id"], r["text"], r["__n_lines"], r["__n_removed"]) for r in got.collect()], key=repr) == brute_lines(rows)
     assert linededup.remove_boilerplate(make(spark, [])).collect() == []
 
 
@@ -67,7 +73,7 @@ def test_line_spread_far_above_the_threshold_uses_the_sketch(spark):
 
 def test_short_lines_on_many_sites_are_boilerplate(spark):
     texts = ["All rights reserved.\nMenu\n\nown line one", "Menu\n\nAll rights reserved.\nown line two", "Home\nAll rights reserved.\n\nMenu", "Home\n\nown line three"]
-    got = {r["doc_id"]: (r["text"], r["_n_removed"]) for r in linededup.remove_boilerplate(make(spark, [(k, t, f"s{k}") for k, t in enumerate(texts)])).collect()}
+    got = {r["doc_id"]: (r["text"], r["__n_removed"]) for r in linededup.remove_boilerplate(make(spark, [(k, t, f"s{k}") for k, t in enumerate(texts)])).collect()}
     assert got == {0: (texts[0], 0), 1: ("\nown line two", 2), 2: ("Home\n", 2), 3: (texts[3], 0)}
 
 
@@ -102,7 +108,7 @@ def damaged(rnd, text, edits):
 def test_decontamination_finds_what_brute_force_finds(spark):
     rnd = random.Random(2)
     say = lambda n: " ".join(rnd.choice(["the", "of", "and", "ing", "ation", "er", "house", "river"]) for _ in range(n))
-    items = [(k, say(rnd.randint(10, 30))) for k in range(8)] + [(8, "short"), (9, None), (10, "")]
+    items = [(k, say(rnd.randint(10, 30))) for k in range(8)] + [(8, "short"), (9, None), (10, ""), (11, " River HOUSE the "), (12, "short")]
     docs = []
     for k in range(60):
         text = say(rnd.randint(0, 30))
@@ -111,7 +117,7 @@ def test_decontamination_finds_what_brute_force_finds(spark):
             m = len(item)
             text += "  \n" + damaged(rnd, item, rnd.choice([0, 1, m // 20, m // 10, m // 8, m // 5])).upper() + " " + say(4)
         docs.append((k, text, "s"))
-    docs += [(100, None, "s"), (101, "", "s"), (None, items[0][1], "s"), (102, say(20_000) + items[1][1] + say(20_000), "s"), docs[1]]
+    docs += [(103, "one SHORT\nitem, then shortly", "s"), (104, "shortly", "s"), (105, "short", "s"), (100, None, "s"), (101, "", "s"), (None, items[0][1], "s"), (102, say(20_000) + items[1][1] + say(20_000), "s"), docs[1]]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = [tuple(r) for r in decontam.search(make(spark, docs), benchmark).collect()]
     want = []
@@ -124,13 +130,15 @@ def test_decontamination_finds_what_brute_force_finds(spark):
                 d = edits_in(norm, decontam.normalise(t))
                 if d <= decontam.budget(len(norm)):
                     want.append((i, item, d))
+            elif norm and f" {norm} " in f" {decontam.normalise(t or '')} ":
+                want.append((i, item, 0))
     assert Counter((i, item, d) for i, item, _, d in got if i != 102) == Counter(want)
     assert (102, 1, 0) in [(i, item, d) for i, item, _, d in got]
     blocks = [tuple(r) for r in decontam.search(make(spark, docs), benchmark, block_chars=100).collect()]
     assert Counter(blocks) == Counter(got)
     hit = {i for i, *_ in got}
     left = decontam.remove(make(spark, docs), benchmark)
-    assert left.columns == make(spark, docs).columns and {r["doc_id"] for r in left.collect()} == {i for i, *_ in docs} - hit
+    assert left.columns == make(spark, docs).columns and {r["doc_id"] for r in left.collect()} == {i for i, *_ in docs} - hit and own_values(left.collect())
     assert decontam.search(make(spark, docs), benchmark.where("false")).collect() == []
     assert decontam.search(make(spark, []), benchmark).collect() == []
 
@@ -159,25 +167,49 @@ def test_shards(spark):
     count = Counter(t for _, t, _ in rows)
     split = [t for t, s in groups.items() if len(s) > 1 and count[t] <= len(rows) // 8]
     assert len(split) <= 7
+    # the rounds did that, not the start
+    cuts = []
+    shards.assign(make(spark, rows), cuts=cuts)
+    assert len(cuts) > 1 and min(cuts) * 2 < cuts[0]
     assert shards.assign(make(spark, [])).collect() == []
     assert [r["slot"] for r in shards.assign(make(spark, [(1, "one", "s")])).collect()] == [0]
 
 
-def test_propagation_lowers_the_cut(spark, monkeypatch):
-    """From a start that ignores links, rounds bring hubs together while counts stay even."""
-    rows = spark.createDataFrame([(k, k % 20 if k % 2 else 1000 + k) for k in range(800)], "rid long, hub long")
-    monkeypatch.setattr(shards, "_start", lambda r, n, total: r.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int")))
-    start = Counter(r["shard"] for r in shards._start(rows, 8, 800).collect())
-    end = shards.propagate(rows, 8).collect()
-    assert Counter(r["shard"] for r in end) == start
-
-    def cut(found):
-        by = defaultdict(Counter)
-        for r in found:
-            by[r["hub"]][r["shard"]] += 1
-        return sum(sum(c.values()) - max(c.values()) for c in by.values())
-
-    assert cut(end) * 2 < cut(shards._start(rows, 8, 800).collect())
+def cut_by_pairs(place, links):
+    """The weight of links between shards, one pair after another."""
+    hubs = defaultdict(list)
+    for rid, hub, share in links:
+        hubs[hub].append((rid, share))
+    total = 0.0
+    for members in hubs.values():
+        for x, (a, share) in enumerate(members):
+            total += sum(share / (len(members) - 1) for b, _ in members[x + 1 :] if place[a] != place[b])
+    return total
+
+
+def test_propagation_against_pairs(spark):
+    """Cuts are those of the pairs of a small graph with several hubs a row; no two rows could be exchanged for a much smaller one."""
+    rnd = random.Random(16)
+    links = [(k, f"g{k // 4}", 1.0) for k in range(48)] + [(k, f"c{k % 3}", 0.25) for k in range(0, 48, 2)] + [(k, f"big{k % 2}", 1.0) for k in range(100, 140)]
+    ids = list(range(240))
+    rnd.shuffle(ids)
+    rows = spark.createDataFrame([(k,) for k in ids], "rid long")
+    cuts = []
+    found = {r["rid"]: r["shard"] for r in shards.propagate(rows, spark.createDataFrame(links, "rid long, hub string, share double"), 4, cuts=cuts).collect()}
+    assert Counter(found.values()) == dict.fromkeys(range(4), 60)
+    start = {r["rid"]: r["shard"] for r in shards._start(rows, 4, 240).collect()}
+    assert abs(cut_by_pairs(start, links) - cuts[0]) < 1e-6 and abs(cut_by_pairs(found, links) - min(cuts)) < 1e-6
+    assert min(cuts) * 3 < cuts[0]
+    # groups of four that have no other link stand together
+    assert sum(len({found[k] for k in range(4 * g, 4 * g + 4)}) == 1 for g in range(12)) >= 9
+
+
+def test_a_hub_larger_than_a_shard(spark):
+    rows = spark.createDataFrame([(k,) for k in range(800)], "rid long")
+    links = spark.createDataFrame([(k, "hot", 1.0) for k in range(300)], "rid long, hub string, share double")
+    found = Counter((r["rid"] < 300, r["shard"]) for r in shards.propagate(rows, links, 8).collect())
+    assert sum(n for (hot, _), n in found.items() if hot) == 300 and all(found[True, s] + found[False, s] == 100 for s in range(8))
+    assert sum(sorted((found[True, s] for s in range(8)), reverse=True)[:3]) >= 280
 
 
 # near duplicates
@@ -236,7 +268,33 @@ def test_near_duplicate_edges(spark):
     assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (None, 3, None, True), (2, 3, 1, False)], key=repr)
     left = neardup.keep_one(make(spark, rows), k=4)
     assert left.columns == make(spark, rows).columns and sorted([r["doc_id"] for r in left.collect()], key=repr) == [1, None]
-    assert neardup.components(make(spark, [])).collect() == []
+    assert neardup.components(make(spark, [])).collect() == [] and neardup.keep_one(make(spark, [])).collect() == []
+
+
+def test_keep_one_takes_one_of_each_group(spark):
+    rnd = random.Random(10)
+    say = lambda: " ".join(f"w{rnd.randrange(5000)}" for _ in range(40))
+    a, b = say(), say()
+    rows = [(5, a, "s"), (5, b, "s"), (3, b.upper(), "s"), (5, a, "s"), (7, a + " more", "s"), (8, None, "s"), (8, None, "s"), (9, " ", "s"), (None, a, "s"), (5, a.upper(), "s")]
+    got = neardup.keep_one(make(spark, rows)).collect()
+    assert own_values(got)
+    # of 5 the row with b goes, as 3 has it; its equal sets count once
+    assert Counter((r["doc_id"], (r["text"] or "").lower()) for r in got) == Counter([(5, a), (3, b), (8, ""), (8, ""), (9, " "), (None, a)])
+
+
+@pytest.mark.parametrize("shingles", [100_000, 2_000])
+def test_documents_that_share_a_passage_make_few_pairs(spark, monkeypatch, shingles):
+    """A passage of half of each document puts them in common buckets; only true links leave the blocks, whatever their size."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+    rnd = random.Random(15)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join([f"w{rnd.randrange(10**6)}" for _ in range(22)] + passage), "s") for k in range(300)]
+    rows += [(1000 + k, t.replace("p7 ", "q "), "s") for k, (_, t, _) in enumerate(rows[:20])]
+    seen = []
+    plain = neardup._by_bucket
+    monkeypatch.setattr(neardup, "_by_bucket", lambda *a: seen.append(plain(*a).count()) or plain(*a))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(make(spark, rows)).collect()}
+    assert got == {d: c for d, (_, c) in brute_components(rows, 4, 80).items()} and seen[0] <= len(rows)
 
 
 def test_copies_linked_only_through_their_original(spark):
@@ -267,6 +325,17 @@ def test_sketch_estimates_similarity():
         assert (neardup.sketch(a[:n]) != np.iinfo(np.uint64).max).all()
 
 
+def test_overlaps_of_blocks(monkeypatch):
+    rnd = np.random.default_rng(5)
+    monkeypatch.setattr(neardup, "EVENTS", 50)
+    for common in (0, 3, 40):
+        draw = lambda: np.unique(np.concatenate([rnd.choice(60, 20), np.arange(100, 100 + common), rnd.integers(1000, 10**6, rnd.integers(1, 30))]))  # noqa: E731, B023
+        left, right = [draw() for _ in range(25)], [draw() for _ in range(33)]
+        want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+        assert (neardup.overlaps(left, right) == want).all()
+    assert neardup.overlaps([np.array([1])], [np.array([2]), np.array([3])]).tolist() == [[0, 0]]
+
+
 def test_components_of_a_graph(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 60) if k % 20] + [(100, 50), (100, 101), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in neardup.connected(edges).collect()}
@@ -321,6 +390,84 @@ def test_local_search_only_improves():
     assert len(packing.improve([[0, 1], [2, 3], [4]], [6, 3, 5, 4, 2], 10)) == 2
 
 
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying every placement."""
+
+    def fits(k, free):
+        if k == len(order):
+            return True
+        for room in {r for r in free if r >= order[k]}:
+            rest = list(free)
+            rest[rest.index(room)] -= order[k]
+            if fits(k + 1, rest):
+                return True
+        return False
+
+    order = sorted(lengths, reverse=True)
+    return next(n for n in range(1, len(lengths) + 1) if fits(0, [capacity] * n))
+
+
+def test_small_bins_against_every_placement():
+    rnd, extra = random.Random(11), 0
+    for _ in range(60):
+        lengths = [rnd.randint(1, 20) for _ in range(rnd.randint(1, 11))]
+        extra += len(packing.improve(packing.best_fit(lengths, 20), lengths, 20)) - fewest_bins(lengths, 20)
+    assert extra <= 1
+
+
+def exchanges(bins, lengths, capacity):
+    """Gains of all moves and exchanges from a bin to one at least as full, one pair after another."""
+    out = set()
+    for x, source in enumerate(bins):
+        for y, other in enumerate(bins):
+            a, b = sum(lengths[i] for i in source), sum(lengths[i] for i in other)
+            if x == y or b < a:
+                continue
+            singles = [[(i,) for i in p] for p in (source, other)]
+            pairs = [[(i, j) for i in p for j in p if i < j] for p in (source, other)]
+            for mine, theirs in [(s, t) for s in singles[0] for t in [(), *singles[1], *pairs[1]]] + [(s, t) for s in pairs[0] for t in singles[1]]:
+                gain = sum(lengths[i] for i in mine) - sum(lengths[i] for i in theirs)
+                if 0 < gain <= capacity - b:
+                    out.add(gain)
+    return out
+
+
+def test_search_ends_where_no_exchange_is_left():
+    rnd = random.Random(12)
+    for _ in range(40):
+        lengths = [rnd.choice([rnd.randint(1, 12), rnd.randint(30, 60)]) for _ in range(40)]
+        end = packing.improve([[i] for i in range(40)] if rnd.random() < 0.5 else packing.best_fit(lengths, 100), lengths, 100)
+        assert len(end) == -(-sum(lengths) // 100) or not exchanges(end, lengths, 100)
+
+
+def test_many_small_pieces_are_packed_fast():
+    import time
+
+    rnd = random.Random(13)
+    for lengths in ([rnd.randint(15, 25) for _ in range(20_000)], [rnd.randint(5, 15) for _ in range(20_000)], [20] * 20_000):
+        began = time.time()
+        end = packing.improve(packing.best_fit(lengths), lengths)
+        assert time.time() - began < 20 and len(end) <= -(-sum(lengths) // 1024) + 2
+
+
+def test_long_runs_of_blanks_and_blocks_that_meet(spark):
+    rnd = random.Random(14)
+    rows = [(0, " " * 1_000_000, "s"), (1, "a" + "\n" * 600_000 + "b", "s")] + [(k, "word " * rnd.randint(0, 700), "s") for k in range(2, 400)] + [(7, "word " * 90, "s")] * 200
+    got = packing.pack(make(spark, rows), block_pieces=100).collect()
+    tokens = Counter()
+    for r in got:
+        tokens[r["doc_id"]] += r["length"]
+    assert tokens[0] == 1_000_001
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in bins.values():
+        ends = [0, *(a + n for a, n in sorted(held))]
+        assert [a for a, _ in sorted(held)] == ends[:-1] and ends[-1] <= 1024
+    # 17 or more blocks would leave about as many sequences too many
+    assert len(bins) <= -(-sum(tokens.values()) // 1024) + 4
+
+
 # WARC
 
 
@@ -359,6 +506,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.where("false")).collect() == []
 
 
+def test_an_outlying_id_leaves_shards_even(spark, tmp_path):
+    rows = [(k, f"http://a.com/{k}", f"<p>{k}</p>" * 20) for k in range(2000)] + [(1 << 40, "u", "far"), (-(1 << 50), "u", "low")]
+    # a third of all rows have one id, or none
+    rows += [(7, "u", f"seven {k}" * 30) for k in range(1000)] + [(None, "u", f"none {k % 3}" * 30) for k in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shards = Counter()
+    for r in warc.write(pages, f"{tmp_path}/w", shard_bytes=100_000).collect():
+        shards[r["file"].split("-")[1]] += r["records"]
+    assert len(shards) > 20 and max(shards.values()) < 3 * len(rows) / len(shards)
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read(spark, f"{tmp_path}/w").collect())
+    assert got[None, "response", None] == 1000 and sum(got.values()) == len(rows) and got[1 << 40, "response", None] == 1
+
+
+def test_a_failed_file_is_removed(tmp_path):
+    with pytest.raises(ValueError), warc.creating(str(tmp_path), "x.gz") as f:
+        f.write(b"half")
+        raise ValueError
+    assert os.listdir(tmp_path) == []
+
+
 # pipeline
 
 
@@ -378,10 +545,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     rows[13] = (13, "12345 67890 !!!", None)
     for k in (20, 21, 22, 23):
         rows[k] = (k, rows[k][1] + "\nThis line of boilerplate is on every single site", rows[k][2])
-    docs = spark.createDataFrame([(i, t, x, f"site{i % 5}", len(t)) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    # null and empty texts, a repeated row, an id that is null, and names that clash with those inside the stages
+    rows += [(90, None, "en"), (91, "", "en"), rows[30]]
+    docs = spark.createDataFrame([(i, t, x, f"site{i % 5}", len(t or ""), "u", "v") for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, _gone string, row string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    kept = [(i, t, f"site{i % 5}") for i, t, _ in rows if i != 13]
+    kept = [(i, t, f"site{i % 5}") for i, t, _ in rows[:80] if i != 13]
     kept = [(i, t, f"site{i % 5}") for i, t, *_ in brute_lines(kept)]
     low = brute_components(kept, 5, 80)
     kept = [r for r in kept if low[r[0]][1] == r[0]]
@@ -391,4 +560,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in got.collect()) == want
     assert not {8, 12, 13, 18} & {i for i, *_ in want} and 3 in {i for i, *_ in want}
+    empty = f"{tmp_path}/empty"
+    docs.where("false").write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).collect() == []
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "pack"]
