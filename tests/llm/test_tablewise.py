@@ -10,7 +10,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from diskloom.llm import decontam, linededup, neardup, packing, shards, warc
