@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diskloom.llm.common import materialize
+
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of one class is maximal, so asking for the length in the pattern drops what would fail and nothing else.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -159,7 +161,8 @@ def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dic
     from pyspark.sql import Window
 
     one = docs.where(F.col(text_col).rlike(TOKEN)).select(F.explode(tested(F.col(text_col))).alias("t"))
-    counts = one.groupBy("t.encoding", "t.size", "t.p").agg(F.count("*").alias("n"))
+    # written down, as it is asked for three things and each would scan the texts again
+    counts = materialize(one.groupBy("t.encoding", "t.size", "t.p").agg(F.count("*").alias("n")), "secret-counts")
     by = Window.partitionBy("encoding", "size")
     low = F.col("p") <= LAMBDA
     sums = counts.select("encoding", "size", "p", F.sum("n").over(by.orderBy("p")).alias("upto"), F.sum("n").over(by).alias("m"), F.coalesce(F.sum(F.when(low, F.col("n"))).over(by), F.lit(0)).alias("low"))
