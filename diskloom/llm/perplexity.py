@@ -10,13 +10,15 @@ as a text that stands only once would else predict itself. Discounts and the cou
 Documents outside their language's band of log perplexity are rejected; the band is the quartiles of the language's
 documents that pass the base rules, widened by `width` times their distance.
 
-Scale: one pass over the text. Shuffled are the words, as frequency-ranked numbers with a dictionary for each task and
-part, compressed: what is gathered grows with the input. Parts grow in number with the input; one task
-holds all trigrams around one word. Sums of a document come back in blocks of documents.
+Scale: WAVES passes over the text (one, unless told otherwise), each for a share of the parts. Shuffled are the words, as frequency-ranked numbers with a dictionary for
+each task and part, compressed: what is gathered grows with the input. Parts grow in number with the input; one task
+holds all trigrams around one word. Sums of a document come back in blocks of documents. Documents are told apart by their place, so the
+table must give the same rows in the same tasks each time it is read, as tables on disk do.
 
 Defined results: null text has no words, all counts 0, fails the base rule and has null perplexity; a null language
-is a language of its own; text without words has null perplexity and is judged by the base rule alone; repeated
-rows are judged alike; null ids are carried; other columns are not read.
+is a language of its own; text without words has null perplexity and is judged by the base rule alone; very long texts are counted whole;
+a document on the edge of a band is inside; repeated rows are judged alike; null ids are carried; other columns are not read, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,32 +39,13 @@ from diskloom.llm.common import materialize, text_batches
 WIDTH = 6.0
 #: Words that a task holds before it writes them out to their parts.
 HELD_WORDS = 5_000_000
-ODD = np.uint32(0x9E3779B1)
+#: The parts are shuffled in so many rounds, each of which reads the text again, so that no more than that share of the words is on disk twice.
+WAVES = 1
 #: Bytes of stored input for each part.
 PART_BYTES = 8_000_000
 _SPACES = (" ", "\t", "\n", "\v", "\f", "\r")
 
 
-def class_table() -> np.ndarray:
-    """The class of every code point: 0 white space, 1-26 letters, 27 digits, 28-39 marks, 40-63 others."""
-    t = (40 + (np.arange(0x110000) % 24)).astype(np.uint8)
-    t[:128] = 39
-    for k, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        t[ord(c)] = 1 + k
-    t[ord("0") : ord("9") + 1] = 27
-    for k, c in enumerate(".,;:!?'\"()-"):
-        t[ord(c)] = 28 + k
-    for c in (*_SPACES, "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0"):
-        t[ord(c)] = 0
-    return t
-
-
-def fourgrams(text: str, table: np.ndarray) -> np.ndarray:
-    """The 4-gram that ends at each character; three spaces stand before the text."""
-    c = table[np.frombuffer(("   " + text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint32)
-    return c[:-3] << np.uint32(18) | c[1:-2] << np.uint32(12) | c[2:-1] << np.uint32(6) | c[3:]
-
-
 def discounts(counts: np.ndarray) -> np.ndarray:
     """D(0), D(1), D(2), D(3 and more) of modified Kneser-Ney; plain fractions where counts of counts are missing."""
     return discounts_of([float((counts == k).sum()) for k in range(1, 5)])
@@ -77,50 +60,6 @@ def discounts_of(n: list[float]) -> np.ndarray:
     return np.array([0, *(min(max(v, 0.05), k + 0.95) for k, v in enumerate(d))])
 
 
-def _level(keys: np.ndarray, counts: np.ndarray, lower: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each key, back-off weight of every context): keys are context * 64 + character."""
-    d = discounts(counts)
-    ctx = (keys >> np.uint32(6)).astype(np.int64)
-    total = np.bincount(ctx, counts, contexts)
-    taken = np.bincount(ctx, d[np.minimum(counts, 3)], contexts)
-    gamma = np.where(total > 0, taken / np.maximum(total, 1), 1.0)
-    p = (counts - d[np.minimum(counts, 3)]) / total[ctx] + gamma[ctx] * lower[(keys % np.uint32(len(lower))).astype(np.int64)]
-    return p, gamma
-
-
-class Model:
-    """A character model, which no query uses: sorted hashes of the 4-grams seen with their log probabilities, and dense tables for those not seen."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        order = np.argsort(grams)
-        g4, c4 = grams[order].astype(np.uint32), counts[order].astype(np.int64)
-        g3, c3 = np.unique(g4 & np.uint32((1 << 18) - 1), return_counts=True)
-        g2, c2 = np.unique(g3 & np.uint32((1 << 12) - 1), return_counts=True)
-        g1, c1 = np.unique(g2 & np.uint32(63), return_counts=True)
-        p1 = np.full(64, 0.05 / 64)
-        p1[g1] += 0.95 * c1 / c1.sum()
-        p2, gamma2 = _level(g2, c2, p1, 64)
-        d2 = (gamma2[:, None] * p1[None, :]).ravel()
-        d2[g2] = p2
-        p3, gamma3 = _level(g3, c3, d2, 4096)
-        d3 = (gamma3[:, None] * d2.reshape(64, 64)[np.arange(4096) % 64]).ravel()
-        d3[g3] = p3
-        p4, gamma4 = _level(g4, c4, d3, 1 << 18)
-        hashed = g4 * ODD
-        order = np.argsort(hashed)
-        self.hashes, self.logs = hashed[order], np.log(p4[order]).astype(np.float32)
-        self.lower, self.back = np.log(d3).astype(np.float32), np.log(gamma4).astype(np.float32)
-
-    def nbytes(self) -> int:
-        return sum(a.nbytes for a in (self.hashes, self.logs, self.lower, self.back))
-
-    def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        h = grams * ODD
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        rest = self.back[grams >> np.uint32(6)] + self.lower[grams & np.uint32((1 << 18) - 1)]
-        return np.where(self.hashes[at] == h, self.logs[at], rest)
-
-
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     if not text:
@@ -188,8 +127,8 @@ def word_hashes(text: str) -> np.ndarray:
     return out
 
 
-def to_parts(texts: list[np.ndarray], docs: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, packed dictionary, u, v, w and steps between documents) of hashed texts."""
+def to_parts(texts: list[np.ndarray], docs: np.ndarray, parts: int, wave: int = 0, waves: int = 1) -> Iterator[tuple[int, bytes]]:
+    """(part, packed dictionary, u, v, w and steps between documents) of hashed texts, for the parts of one wave."""
     sizes = np.array([len(t) for t in texts])
     words, ids = np.unique(np.concatenate(texts), return_inverse=True)
     ids = ids.astype(np.uint32)
@@ -198,8 +137,13 @@ def to_parts(texts: list[np.ndarray], docs: np.ndarray, parts: int) -> Iterator[
     inner[starts] = inner[starts + 1] = False
     at = np.flatnonzero(inner)
     part = ((words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32)[ids[at - 1]]
+    doc = np.repeat(docs, sizes - 2)
+    mine = part % waves == wave
+    at, part, doc = at[mine], part[mine], doc[mine]
+    if not len(at):
+        return
     order = np.argsort(part, kind="stable")
-    at, part, doc = at[order], part[order], np.repeat(docs, sizes - 2)[order]
+    at, part, doc = at[order], part[order], doc[order]
     edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
     for a, z in zip(edges[:-1], edges[1:], strict=True):
         own, numbers, n = np.unique(ids[np.concatenate([at[a:z] - 2, at[a:z] - 1, at[a:z]])], return_inverse=True, return_counts=True)
@@ -304,9 +248,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def read(docs: DataFrame, parts: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """A row (key, id, lang, base counts) for each document and rows (lang, part, task, words) of the words."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+def read(docs: DataFrame, parts: int, id_col: str, text_col: str, lang_col: str, wave: int = 0, waves: int = 1) -> DataFrame:
+    """In the first wave a row (key, id, lang, base counts) for each document, and rows (lang, part, task, words) of the words of the wave's parts.
+
+    lang: a sign and the language, so that a null language is none of the others.
+    """
+    label = F.col(lang_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.when(label.isNull(), "-").otherwise(F.concat(F.lit("+"), label)).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -321,7 +269,7 @@ def read(docs: DataFrame, parts: int, id_col: str, text_col: str, lang_col: str)
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, some in texts.items():
-                for part, raw in to_parts(some, np.array(numbers[lang], np.int64), parts):
+                for part, raw in to_parts(some, np.array(numbers[lang], np.int64), parts, wave, waves):
                     yield row(pa.nulls(1, kinds), [lang], [part], [task], [[None]] * 5, [raw])
             texts.clear()
             numbers.clear()
@@ -333,13 +281,15 @@ def read(docs: DataFrame, parts: int, id_col: str, text_col: str, lang_col: str)
                 n = batch.num_rows
                 langs, out = batch.column(1).to_pylist(), []
                 for k, text in enumerate(batch.column(2).to_pylist()):
-                    out.append(base_counts(text))
-                    if out[-1][0]:
-                        hashed = word_hashes(text)
+                    if not wave:
+                        out.append(base_counts(text))
+                    hashed = word_hashes(text or "")
+                    if len(hashed) > 2:
                         texts.setdefault(langs[k], []).append(hashed)
                         numbers.setdefault(langs[k], []).append(count + k)
                         held += len(hashed)
-                yield row(batch.column(0), langs, [-1 - (count + k) % parts for k in range(n)], [(task << 32) + count + k for k in range(n)], [[r[j] for r in out] for j in range(5)], [None] * n)
+                if not wave:
+                    yield row(batch.column(0), langs, [-1 - (count + k) % parts for k in range(n)], [(task << 32) + count + k for k in range(n)], [[r[j] for r in out] for j in range(5)], [None] * n)
                 count += n
                 if held > HELD_WORDS:
                     yield from flush()
@@ -424,9 +374,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # about 4 million words a part where the size of the input is known
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     parts = max(8, min(4 * docs.rdd.getNumPartitions(), size // PART_BYTES))
-    rows = materialize(gather(read(docs, parts, id_col, text_col, lang_col), parts), "word-trigrams")
-    # what the driver no longer refers to loses its shuffle files
-    docs.sparkSession._jvm.System.gc()
+    made = []
+    for wave in range(WAVES):
+        made.append(materialize(gather(read(docs, parts, id_col, text_col, lang_col, wave, WAVES), parts), "word-trigrams"))
+        # what the driver no longer refers to loses its shuffle files
+        docs.sparkSession._jvm.System.gc()
+    rows = made[0]
+    for more in made[1:]:
+        rows = rows.unionByName(more)
     state = rows.where(F.col("part") >= 0)
     last = materialize(sum_last(state, parts), "last-words")
     sums = lambda c: F.array(*[F.sum(F.col(c)[k]) for k in range(5)]).alias(c)
@@ -459,7 +414,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return pd.DataFrame({"_key": (int(p["task"].iloc[0]) << 32) + some.astype(np.int64), "logs": np.bincount(by, logs)})
 
     logs = met.mapInArrow(judge, "task long, part int, sums binary").groupBy("task").applyInPandas(add, "_key long, logs double")
-    base = rows.where(F.col("part") < 0).select("key", "id", "lang", *NAMES)
+    base = made[0].where(F.col("part") < 0).select("key", "id", "lang", *NAMES)
     scored = base.join(logs, F.col("key") == F.col("_key"), "left")
     return materialize(scored.select("id", "lang", *NAMES, (-F.col("logs") / F.col("n_words")).alias("log_ppl")), "ngram-scores")
 

@@ -41,6 +41,19 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(fast, [langid.forward(w, table, 2) for w in ("a", "ab", "abab", "bbaab")])
 
 
+def test_words_of_any_length_are_scored_whole(monkeypatch):
+    rnd = random.Random(23)
+    p = {b" ": 1e-9, b"a": 3e-9, b"b": 2e-8, b"ab": 1e-10, b"bba": 4e-9, b"babababababababababab": 1e-7, b" a": 1e-9}
+    table = {k: (v, v / (1 + k.count(b"a")), v * 3) for k, v in p.items()}
+    words = ["".join(rnd.choice("ab") for _ in range(n)) for n in (1, 30, 60, 61, 200, 400)] + ["ba" * 150]
+    want = [langid.forward(w, table, 3) for w in words]
+    assert min(map(min, want)) < -5000
+    pieces, probability = langid.Pieces(list(p)), np.array([table[k] for k in p])
+    for longest in (2048, 60, 30):
+        monkeypatch.setattr(langid, "LONG_WORD", longest)
+        assert np.allclose(langid.forward_all(words, pieces, probability), want, rtol=1e-9)
+
+
 def test_expected_counts_are_an_em_step():
     p = {b" ": 0.2, b"a": 0.3, b" a": 0.5}
     out = {}
@@ -63,16 +76,16 @@ def test_langid_held_out(spark, prose):
 
 def test_langid_edges(spark, prose):
     texts, langs = prose
-    docs = make(spark, [*texts, None, "", "123 !! ½²", "the river " * 30_000, texts[0]], [*langs, "en", "en", "fr", None, "en"])
+    docs = make(spark, [*texts, None, "", "123 !! ½²", "the river " * 30_000, texts[0], "ther" * 3_000], [*langs, "en", "en", "fr", None, "en", None])
     docs = docs.unionByName(spark.createDataFrame([(None, "the house", "en", None, None, None)], DOCS))
     got = langid.identify(docs).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == 306 and [by[k]["lang_pred"] for k in (300, 301, 302, 303)] == ["und", "und", "und", "en"]
+    assert len(got) == 307 and by[305]["lang_pred"] == "en" and [by[k]["lang_pred"] for k in (300, 301, 302, 303)] == ["und", "und", "und", "en"]
     assert by[None]["lang_pred"] == "en" and by[None]["held_out"] is False and by[300]["score"] == 0.0
     assert langid.identify(make(spark, [])).collect() == []
     assert [r["lang_pred"] for r in langid.identify(make(spark, ["no labels"], [None])).collect()] == ["und"]
     kept = langid.accept(docs)
-    assert kept.columns == docs.columns and kept.count() == 303
+    assert kept.columns == docs.columns and kept.count() == 304
 
 
 def brute_base(text):
@@ -96,42 +109,6 @@ def test_base_counts():
         assert perplexity.base_counts(text) == brute_base(text)
 
 
-def test_kneser_ney_sums_to_one():
-    table = perplexity.class_table()
-    grams = np.concatenate([perplexity.fourgrams(t, table) for t in ("the cat sat on the mat", "the cat ran to the rat", "abc")])
-    model = perplexity.Model(*np.unique(grams, return_counts=True))
-    for context in (int(grams[5] >> 6), int(grams[9] >> 6), 12345):
-        every = np.arange(64, dtype=np.uint32) + np.uint32(context << 6)
-        assert math.isclose(np.exp(model.log_probability(every).astype(float)).sum(), 1, rel_tol=1e-4)
-
-
-def brute_kneser_ney(grams, gram):
-    """Interpolated modified Kneser-Ney of one 4-gram by dictionaries."""
-    from collections import Counter
-
-    levels = [Counter(grams)]
-    for bits in (18, 12, 6):
-        levels.append(Counter(g & ((1 << bits) - 1) for g in levels[-1]))
-    p = 0.05 / 64 + 0.95 * levels[3][gram & 63] / sum(levels[3].values())
-    for k in (2, 1, 0):
-        counts, g = levels[k], gram & ((1 << (24 - 6 * k)) - 1)
-        d = perplexity.discounts(np.array(list(counts.values())))
-        mine = {x: c for x, c in counts.items() if x >> 6 == g >> 6}
-        if mine:
-            total = sum(mine.values())
-            p = max(0.0, counts[g] - (d[min(counts[g], 3)] if counts[g] else 0)) / total + sum(d[min(c, 3)] for c in mine.values()) / total * p
-    return p
-
-
-def test_kneser_ney_against_dictionaries():
-    table, rnd = perplexity.class_table(), random.Random(2)
-    grams = np.concatenate([perplexity.fourgrams("".join(rnd.choice("abcd ") for _ in range(60)), table) for _ in range(20)])
-    model = perplexity.Model(*np.unique(grams, return_counts=True))
-    some = [int(g) for g in grams[:40]] + [rnd.randrange(1 << 24) for _ in range(20)]
-    for g in some:
-        assert math.isclose(math.exp(model.log_probability(np.array([g], np.uint32))[0]), brute_kneser_ney(grams.tolist(), g), rel_tol=1e-4)
-
-
 def test_rules_reject_noise_and_keep_prose(spark, prose):
     texts, langs = prose
     rnd = random.Random(5)
@@ -246,15 +223,45 @@ def test_bare_keys_of_every_form_are_tested(spark):
     assert not any(got[k] for k in range(120, 124))
 
 
-def test_secret_thresholds_are_benjamini_hochberg(spark):
+def brute_threshold(p):
+    """The least grid value with at most FDR estimated false ones above it, by counting at every candidate, and no less than what Benjamini-Hochberg refuses."""
+    # ties count together: the largest rank of a value decides
+    refused = max((v for v in set(p) if (v + 1) * len(p) <= secrets.FDR * secrets.GRID * sum(x <= v for x in p)), default=-1)
+    above = sum(v > secrets.LAMBDA for v in p)
+    for t in [-1, *sorted({v for v in p if v <= secrets.LAMBDA})]:
+        due = above * (secrets.LAMBDA - 1 - t) / (secrets.GRID - secrets.LAMBDA)
+        false = sum(t < v <= secrets.LAMBDA for v in p) - due
+        if false <= secrets.FDR * sum(v > t for v in p) + 1e-9:
+            return max(t, refused)
+
+
+def test_secret_thresholds_control_false_reports(spark):
     rnd = random.Random(13)
-    texts = ["tok " + "".join(rnd.choice("abcdef0123456789") for _ in range(24)) for _ in range(80)] + ["tok " + "ab12" * 6 for _ in range(20)]
+    for good, bad in ((80, 20), (5, 60), (1, 0), (0, 3)):
+        texts = ["tok " + "".join(rnd.choice("abcdef0123456789") for _ in range(24)) for _ in range(good)] + ["tok " + "ab12" * 6 for _ in range(bad)] + ["tok " + "abcd" * 4 + "".join(rnd.choice("0123") for _ in range(8)) for _ in range(bad)]
+        docs = make(spark, texts)
+        p = [t["p"] for r in docs.select(secrets.tested(F.col("text")).alias("t")).collect() for t in r["t"]]
+        assert len(p) == good + 2 * bad and secrets.thresholds(docs).get(("hex", 2)) == brute_threshold(p)
+        reported = [bool(r["random"]) for r in secrets.scan(docs).collect()]
+        assert sum(reported) == sum(v > brute_threshold(p) for v in p)
+
+
+def test_secrets_against_sql(spark):
+    """Tokens of every encoding, case and length, through the query's SQL."""
+    import duckdb
+
+    from diskloom.llm import sql
+
+    rnd = random.Random(19)
+    lower = "0123456789abcdefghijklmnopqrstuvwxyz"
+    sets = ["0123456789abcdef", "0123456789ABCDEF", secrets.ALPHABETS["base32"], lower, lower.upper(), secrets.ALPHABETS["base64"], "ab1", "0aZ-_", "AB12-"]
+    texts = [" ".join("".join(rnd.choice(rnd.choice(sets) if k % 9 == 0 else sets[k % len(sets)]) for _ in range(rnd.choice([15, 16, 19, 20, 31, 40, 96, 200]))) for _ in range(6)) for k in range(120)] + [None, "", "token=" + "a1" * 30, "é" * 5 + "AKIA" + "B2" * 20]
     docs = make(spark, texts)
-    p = sorted(t["p"] for r in docs.select(secrets.tested(F.col("text")).alias("t")).collect() for t in r["t"])
-    want = max((v for k, v in enumerate(p, 1) if (v + 1) * len(p) <= secrets.FDR * secrets.GRID * k), default=None)
-    # ties count together: the largest rank of a value decides
-    want = max((v for v in set(p) if (v + 1) * len(p) <= secrets.FDR * secrets.GRID * sum(x <= v for x in p)), default=None)
-    assert secrets.thresholds(docs).get(("hex", 1)) == want
+    documents = docs.toPandas()  # noqa: F841 DuckDB finds it by name
+    want = duckdb.sql(f"SELECT doc_id, n_assign, n_access, n_hex, base_sha256, spans FROM ({sql.op8()})").fetchall()
+    got = [tuple(r) for r in secrets.digest(secrets.scan(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()]
+    assert sorted(got) == sorted(want)
+    assert sum("random" in r[5] for r in got) > 60
 
 
 def brute_url(url):
