@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -160,6 +161,68 @@ def test_word_trigrams_against_dictionaries(spark, monkeypatch):
     assert got[42] is got[43] is got[44] is None
 
 
+def shuffle_files(spark):
+    return {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+
+
+def test_word_model_leaves_no_shuffle_files(spark, prose):
+    before = shuffle_files(spark)
+    scored = perplexity.score(make(spark, *prose))
+    assert not shuffle_files(spark) - before
+    assert scored.count() == 300
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize(("frequent", "waves"), [(1, 1), (3, 2), (100, 3)])
+def test_word_model_is_the_same_however_words_are_written(spark, monkeypatch, frequent, waves):
+    monkeypatch.setattr(perplexity, "FREQUENT", frequent)
+    monkeypatch.setattr(perplexity, "WAVES", waves)
+    rnd = random.Random(6)
+    docs = [[rnd.choice(["a", "b", "c", "d", f"w{rnd.randrange(50)}"]) for _ in range(rnd.randint(1, 25))] for _ in range(30)]
+    got = {r["id"]: r["log_ppl"] for r in perplexity.score(make(spark, [" ".join(d) for d in docs])).collect()}
+    assert all(math.isclose(got[k], brute_word_model(docs, k), rel_tol=1e-5) for k in range(30))
+
+
+def test_word_model_of_rows_that_never_come_in_the_same_order(spark, tmp_path):
+    rnd = random.Random(9)
+    docs = [[rnd.choice("a b c d e f".split()) for _ in range(rnd.randint(1, 25))] for _ in range(30)]
+    rows = make(spark, [" ".join(d) for d in docs])
+    rows.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    assert perplexity.read_from_files(stored.where("doc_id < 20").select("doc_id", F.upper("text").alias("text")))
+    for some in (stored.withColumn("x", F.rand()), stored.repartition(3), rows.rdd.toDF(rows.schema)):
+        assert not perplexity.read_from_files(some)
+    for some in (stored, stored.orderBy(F.rand()).repartition(5)):
+        got = {r["id"]: r["log_ppl"] for r in perplexity.score(some).collect()}
+        assert all(math.isclose(got[k], brute_word_model(docs, k), rel_tol=1e-5) for k in range(30))
+
+
+def test_words_travel_as_short_numbers_and_come_back(monkeypatch):
+    rnd = random.Random(8)
+    texts = [perplexity.word_hashes(" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(200))) for _ in range(300)]
+    words, n = np.unique(np.concatenate(texts), return_counts=True)
+    few = perplexity.Frequent(words[np.argsort(-n, kind="stable")][:2000])
+    none = perplexity.Frequent(np.zeros(0, np.uint64))
+    docs = np.arange(300)
+    law = np.array([0, 0.5, 0.75, 0.9])
+    size, stats, logs = {}, {}, {}
+    for name, frequent in (("few", few), ("none", none)):
+        chunks = [(part, raw) for a in (0, 150) for part, _, raw in perplexity.to_parts(texts[a : a + 150], docs[a : a + 150], 8, frequent)]
+        stats[name] = [perplexity.counted([raw for p, raw in chunks if p == part], frequent)[:2] for part in range(8)]
+        sent = [(part, first, raw) for wave in (0, 1) for a in (0, 150) for part, first, raw in perplexity.to_parts(texts[a : a + 150], docs[a : a + 150], 8, frequent, wave, 2)]
+        size[name] = sum(len(raw) for *_, raw in sent)
+        for pairs in (50, 10**9):
+            monkeypatch.setattr(perplexity, "SCORED_PAIRS", pairs)
+            total = np.zeros(300)
+            for part in range(8):
+                t = perplexity.Trigrams.merged([(first, raw) for p, first, raw in sent if p == part], frequent)
+                total[t.keys.astype(np.int64)] += t.log_probabilities(law, law, np.full(t.n_words, 1e-4))
+            logs[name, pairs] = total
+    assert stats["few"] == stats["none"]
+    assert all(np.allclose(x, logs["few", 50], rtol=1e-12) for x in logs.values())
+    assert size["few"] < 0.75 * size["none"]
+
+
 def test_words_in_random_order_are_told_from_prose(spark):
     rnd = random.Random(4)
     after = {w: rnd.sample(range(200), 3) for w in range(200)}
