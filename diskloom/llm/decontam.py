@@ -8,8 +8,9 @@ band holds them all; bands with t hits are verified by an alignment confined to
 Items below `min_chars` characters are too short for edits to mean much: they match word for word, found by an automaton of all of them.
 
 Scale: one map-only pass over the documents for each block of items of at most `block_chars` characters; the block's
-q-gram index (about 20 bytes a character) is broadcast, so its size is bounded whatever the size of the benchmark. A
-bitmap drops most q-grams of a document before the index is searched. Very long texts are taken in overlapping parts.
+q-gram index (about 24 bytes a character, 50 while it is made) is built by each worker, so its size is bounded whatever the size of the
+benchmark. A bitmap drops most q-grams of a document before the index is searched. Very long texts are taken in overlapping parts, and
+the hits of a part in slices of `HITS`: a text and an item that repeat the same few q-grams hit one another everywhere.
 
 Defined results: null or empty texts match nothing; null items, and those without more than white space, match nothing; very long texts
 are searched whole, in overlapping parts; of equally good places the first is told; repeated rows give repeated matches; of repeated items
@@ -26,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diskloom.llm.common import text_batches
+from diskloom.llm.common import scratch_path, text_batches
+from diskloom.scratch import _drop
 
 Q, ERROR, MIN_CHARS = 8, 0.1, 40
 BLOCK_CHARS = 8_000_000
 #: A text is searched in parts of this many characters.
 PART = 1 << 18
+#: Hits that are held at once.
+HITS = 1 << 20
 _BITS = 24
 
 
@@ -82,44 +86,54 @@ class Index:
         self.q, self.ids, self.texts = q, [i for i, _ in items], [t for _, t in items]
         self.m = np.array([len(t) for t in self.texts], np.int64)
         self.k = np.array([budget(int(m), q, error) for m in self.m], np.int64)
-        grams = [qgrams(codes(t), q) for t in self.texts]
-        key = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        pos = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        n = np.maximum(self.m - q + 1, 0)
+        key, item, pos = np.empty(n.sum(), np.uint64), np.repeat(np.arange(len(n), dtype=np.int32), n), np.empty(n.sum(), np.int32)
+        for t, size, end in zip(self.texts, n, np.cumsum(n), strict=True):
+            key[end - size : end] = qgrams(codes(t), q)
+            pos[end - size : end] = np.arange(size)
         order = np.argsort(key, kind="stable")
-        self.keys, first = np.unique(key[order], return_index=True)
-        self.first = np.append(first, len(key)).astype(np.int64)
-        self.item, self.pos = item[order].astype(np.int32), pos[order].astype(np.int32)
+        key = key[order]
+        self.item, self.pos = item[order], pos[order]
+        del order, item, pos
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.keys, self.first = key[new], np.append(np.flatnonzero(new), len(key))
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
         self.ids += [i for i, _ in brief]
 
-    def candidates(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, band, hits) of the bands that meet the lemma's bound."""
+    def candidates(self, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(items, bands) that meet the lemma's bound, in slices of HITS hits.
+
+        Hits come in the text's order and those of a band lie close together, so a band is told when the text has passed it; only open ones are kept.
+        """
         h = qgrams(c, self.q)
-        none = np.zeros(0, np.int64)
         at = np.flatnonzero(self.seen[(h & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
-        if not len(at):
-            return none, none, none
         where = np.searchsorted(self.keys, h[at])
         ok = where < len(self.keys)
         at, where = at[ok], where[ok]
         ok = self.keys[where] == h[at]
         at, where = at[ok], where[ok]
-        n = self.first[where + 1] - self.first[where]
-        if not len(n):
-            return none, none, none
-        into = np.repeat(self.first[where] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item = self.item[into].astype(np.int64)
-        band = (np.repeat(at, n) - self.pos[into] + self.m[item]) // (self.k[item] + 1)
-        # band j: diagonals from j to j + 2 steps; a hit on step j counts for j and j - 1
-        key, count = np.unique((item << np.int64(40)) | (band + 1), return_counts=True)
-        both = np.concatenate([key, key - 1])
-        key, back = np.unique(both, return_inverse=True)
-        hits = np.bincount(back, np.concatenate([count, count])).astype(np.int64)
-        item = key >> np.int64(40)
-        enough = hits >= self.m[item] - self.q + 1 - self.k[item] * self.q
-        return item[enough], (key[enough] & ((1 << 40) - 1)) - 1, hits[enough]
+        cum = np.append(0, np.cumsum(self.first[where + 1] - self.first[where]))
+        key, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for lo in range(0, int(cum[-1]), HITS):
+            hi = min(lo + HITS, int(cum[-1]))
+            # the places of the text with hits lo .. hi - 1, and how many of these each has
+            a, b = int(np.searchsorted(cum, lo, "right")) - 1, int(np.searchsorted(cum, hi, "left"))
+            place = np.repeat(np.arange(a, b), np.minimum(cum[a + 1 : b + 1], hi) - np.maximum(cum[a:b], lo))
+            into = self.first[where[place]] + np.arange(lo, hi) - cum[place]
+            item = self.item[into].astype(np.int64)
+            band = (at[place] - self.pos[into] + self.m[item]) // (self.k[item] + 1)
+            # band j: diagonals from j to j + 2 steps; a hit on step j counts for j and j - 1
+            step, count = np.unique((item << np.int64(40)) | (band + 1), return_counts=True)
+            key, back = np.unique(np.concatenate([key, step, step - 1]), return_inverse=True)
+            hits = np.bincount(back, np.concatenate([hits, count, count])).astype(np.int64)
+            item, band = key >> np.int64(40), (key & ((1 << 40) - 1)) - 1
+            # of later hits none lies before this place, and a band has none from its last diagonal's end on
+            passed = np.ones(len(key), bool) if hi == cum[-1] else (band + 2) * (self.k[item] + 1) <= at[np.searchsorted(cum, hi, "right") - 1]
+            enough = passed & (hits >= self.m[item] - self.q + 1 - self.k[item] * self.q)
+            yield item[enough], band[enough]
+            key, hits = key[~passed], hits[~passed]
 
 
 def align(a: np.ndarray, b: np.ndarray, lo: int, width: int, k: int) -> tuple[int, int]:
@@ -169,7 +183,7 @@ def matches(text: str | None, index: Index) -> list[tuple[int, int, int]]:
     for start in range(0, max(1, len(whole) - reach), PART):
         c = whole[start : start + PART + reach]
         verbatim: dict[int, int] = {}
-        for item, band, _ in zip(*index.candidates(c), strict=True):
+        for item, band in (x for told in index.candidates(c) for x in zip(*told, strict=True)):
             # a verbatim item needs no alignment, and nothing is better than its first place
             place = verbatim.get(int(item))
             if place is None:
@@ -248,11 +262,21 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that contain no item, unchanged. The row itself is the id that the search carries, so nothing is joined."""
+    """The rows of docs that contain no item, unchanged. The row itself is the id that the search carries, so nothing is joined.
+
+    Between blocks of items the rows left are written down, and the copy before goes: in one stage the workers of all blocks would run,
+    with their indexes, at once.
+    """
     text_batches(docs.sparkSession)
-    out = docs
+    out, before = docs, None
     q, error, min_chars = options.get("q", Q), options.get("error", ERROR), options.get("min_chars", MIN_CHARS)
-    for block in blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("block_chars", BLOCK_CHARS)):
+    for k, block in enumerate(blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("block_chars", BLOCK_CHARS))):
+        if k:
+            path = scratch_path(docs.sparkSession, "decontam-left")
+            out.write.parquet(path)
+            if before:
+                _drop(docs.sparkSession, before)
+            before, out = path, docs.sparkSession.read.schema(docs.schema).parquet(path)
         shared = docs.sparkSession.sparkContext.broadcast(block)
         place = docs.columns.index(text_col)
 

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -142,6 +143,51 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert decontam.search(make(spark, []), benchmark).collect() == []
 
 
+def peak_of(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_decontamination_holds_few_hits_at_once():
+    items = [(1, "ab" * 200), (2, "ab" * 190 + "xyz" * 7), (3, "ba" * 150)]
+    index = decontam.Index(items, min_chars=decontam.MIN_CHARS)
+    # 60,000 places with about 250 hits each: as whole columns they took gigabytes
+    found, peak = peak_of(lambda: decontam.matches("ab" * 30_000 + " " + items[1][1], index))
+    assert [i for i, _, d in found if d == 0] == [0, 1, 2] and peak < 250 << 20
+
+
+def test_decontamination_finds_the_same_in_small_slices(monkeypatch):
+    rnd = random.Random(5)
+    say = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    for letters in ("a", "ab", "ab c", "abcdefgh "):
+        index = decontam.Index([(k, decontam.normalise(say(letters, 60 + 20 * k))) for k in range(4)], min_chars=decontam.MIN_CHARS)
+        texts = [say(letters, 150) + damaged(rnd, index.texts[k % len(index.texts)], k) + say(letters, 50) for k in range(6)]
+        whole = [decontam.matches(t, index) for t in texts]
+        assert any(whole)
+        for hits in (53, 700):
+            monkeypatch.setattr(decontam, "HITS", hits)
+            assert [decontam.matches(t, index) for t in texts] == whole
+        monkeypatch.undo()
+
+
+def test_decontamination_index_takes_few_bytes_a_character():
+    rnd = random.Random(6)
+    items = [(k, "".join(rnd.choices("abcdefghijkl", k=500))) for k in range(2_000)]
+    index, peak = peak_of(lambda: decontam.Index(items))
+    assert len(index.keys) > 900_000 and peak - index.seen.nbytes < 60 * 1_000_000
+
+
+def test_decontamination_has_one_index_in_a_task(spark):
+    benchmark = spark.createDataFrame([(k, f"the {k} item of a benchmark that is cut into blocks of its own") for k in range(4)], "item_id long, text string")
+    docs = make(spark, [(k, f"before the {k} item of a benchmark that is cut into blocks of its own and after" if k < 3 else "free", "s") for k in range(6)])
+    left = decontam.remove(docs, benchmark, block_chars=70)
+    assert left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5] and own_values(left.collect())
+
+
 # sharding
 
 
