@@ -178,6 +178,34 @@ def ordered(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(key).astype(np.uint32)
 
 
+def in_order(held: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """u, v, w and what goes with them (held: u v w, that) by v, u, w, which are numbers below n. held is emptied, so that nothing stays twice."""
+    cols, also = held
+    held.clear()
+    bits = np.uint64(int(n).bit_length())
+    if 3 * int(bits) > 64:
+        order = ordered(*cols, n)
+        also = also[order]
+        for k in range(3):
+            cols[k] = cols[k][order]
+        return *cols, also
+    key = cols[1].astype(np.uint64)
+    for k in (0, 2):
+        key <<= bits
+        key |= cols[k]
+    del cols
+    order = np.argsort(key)
+    also = also[order]
+    key = key[order]
+    del order
+    out = []
+    for _ in range(3):
+        out.append(key.astype(np.uint32))
+        out[-1] &= np.uint32((1 << int(bits)) - 1)
+        key >>= bits
+    return out[1], out[2], out[0], also
+
+
 def to_parts(texts: list[np.ndarray], docs: np.ndarray, parts: int, frequent: Frequent, wave: int | None = None, waves: int = 1) -> Iterator[tuple[int, int, bytes]]:
     """(part, first document, packed words) of hashed texts.
 
@@ -219,13 +247,16 @@ def together(chunks: list[list[np.ndarray]], frequent: Frequent) -> tuple[np.nda
     """Unpacked words of several tasks: (their sorted other words, u v w by common numbers)."""
     hashes = [np.cumsum(c[0], dtype=np.uint64) for c in chunks]
     other, numbers = np.unique(np.concatenate(hashes), return_inverse=True)
-    table, at, cols = np.arange(frequent.n + max(map(len, hashes)), dtype=np.uint32), 0, []
+    table, at, done = np.arange(frequent.n + max(map(len, hashes)), dtype=np.uint32), 0, 0
+    cols = np.empty((3, sum(len(c[1]) for c in chunks)), np.uint32)
     for c, own in zip(chunks, hashes, strict=True):
         table[frequent.n : frequent.n + len(own)] = frequent.n + numbers[at : at + len(own)]
         at += len(own)
-        cols.append(table[np.stack(c[1:4])])
+        for k in range(3):
+            cols[k, done : done + len(c[1])] = table[c[1 + k]]
+        done += len(c[1])
         del c[1:4]
-    return other, np.concatenate(cols, axis=1)
+    return other, cols
 
 
 def counted(raws: list[bytes], frequent: Frequent) -> tuple[list[int], list[int], bytes]:
@@ -234,12 +265,11 @@ def counted(raws: list[bytes], frequent: Frequent) -> tuple[list[int], list[int]
     chunks = [unpack(raw) for raw in raws]
     for c in chunks:
         c[2] = np.cumsum(c[2], dtype=np.uint32)
-    other, (u, v, w) = together(chunks, frequent)
-    n = np.concatenate([c[-1] for c in chunks])
+    other, cols = together(chunks, frequent)
+    held = [cols, np.concatenate([c[-1] for c in chunks])]
     chunks.clear()
-    order = ordered(u, v, w, frequent.n + len(other))
-    u, v, w, n = u[order], v[order], w[order], n[order]
-    del order
+    del cols
+    u, v, w, n = in_order(held, frequent.n + len(other))
     tri = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
     c3 = np.add.reduceat(n, tri, dtype=np.int64)
     pairs = (v[tri].astype(np.uint64) << np.uint64(32)) | w[tri]
@@ -253,56 +283,89 @@ def counted(raws: list[bytes], frequent: Frequent) -> tuple[list[int], list[int]
     return n3, n2, pack(steps(last[:cut]), n[:cut], steps(other[last[cut:] - frequent.n]), n[cut:])
 
 
+def totals(numbers: np.ndarray, counts: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of these sorted numbers (the sum of its counts, of their discounts), in blocks that hold a number whole."""
+    total, back = np.zeros(int(numbers[-1]) + 1), np.zeros(int(numbers[-1]) + 1)
+    at = 0
+    while at < len(numbers):
+        z = int(np.searchsorted(numbers, numbers[min(at + SCORED_PAIRS, len(numbers)) - 1], "right"))
+        first, end = int(numbers[at]), int(numbers[z - 1]) + 1
+        some, c = numbers[at:z] - numbers[at], counts[at:z]
+        total[first:end], back[first:end] = np.bincount(some, c), np.bincount(some, d[np.minimum(c, 3)])
+        at = z
+    return total, back
+
+
 class Trigrams:
     """The trigrams around some middle words with their documents, sorted by v, u, w, document; n_ names how many of each there are."""
 
-    def __init__(self, n_words: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray, keys: np.ndarray):
+    def __init__(self, n_words: int, held: list[np.ndarray], keys: np.ndarray):
+        """held: u, v, w, doc; it is emptied, and each goes as soon as it is not needed."""
         self.n_words, self.keys = n_words, keys
+        u, v, w, doc = held
+        held.clear()
+        end = np.uint32(len(u))
         new_uv = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]))
+        del u
         new_tri = new_uv | np.append(True, w[1:] != w[:-1])
         pair = np.flatnonzero(new_tri | np.append(True, doc[1:] != doc[:-1])).astype(np.uint32)
-        tri = np.flatnonzero(new_tri).astype(np.uint32)
-        end = np.uint32(len(u))
         #: of each (trigram, document): how often, the trigram's number, the document
-        self.own = np.diff(pair, append=end)
-        self.tri = (np.cumsum(new_tri, dtype=np.uint32) - np.uint32(1))[pair]
         self.of = doc[pair]
+        del doc
+        self.own = np.diff(pair, append=end)
+        self.tri = np.cumsum(new_tri[pair], dtype=np.uint32)
+        self.tri -= np.uint32(1)
+        del pair
+        tri = np.flatnonzero(new_tri).astype(np.uint32)
         #: of each trigram
         self.c3 = np.diff(tri, append=end)
-        self.ctx = (np.cumsum(new_uv, dtype=np.uint32) - np.uint32(1))[tri]
+        self.ctx = np.cumsum(new_uv[tri], dtype=np.uint32)
+        self.ctx -= np.uint32(1)
+        del new_uv, new_tri
         pairs = v[tri].astype(np.uint64)
+        del v
         pairs <<= np.uint64(32)
         pairs |= w[tri]
+        del w, tri
         order = np.argsort(pairs).astype(np.uint32)
         pairs = pairs[order]
         new_bi = np.append(True, pairs[1:] != pairs[:-1])
-        self.bi = np.empty(len(tri), np.uint32)
-        self.bi[order] = np.cumsum(new_bi, dtype=np.uint32) - np.uint32(1)
         bigrams = pairs[new_bi]
+        del pairs
+        self.bi = np.empty(len(order), np.uint32)
+        self.bi[order] = np.cumsum(new_bi, dtype=np.uint32) - np.uint32(1)
         #: of each bigram v w
         self.c2 = np.bincount(self.bi)
         self.bi_v, self.bi_w = (bigrams >> np.uint64(32)).astype(np.int64), bigrams.astype(np.uint32)
 
     @classmethod
     def merged(cls, held: list[tuple[int, bytes]], frequent: Frequent) -> Trigrams:
-        """Of what several tasks wrote for one wave: (task and first document, packed words), in this order."""
+        """Of what several tasks wrote for one wave: (task and first document, packed words), in this order. held is emptied."""
         chunks = [unpack(raw) for _, raw in held]
-        other, (u, v, w) = together(chunks, frequent)
-        docs = np.concatenate([np.uint64(key) + np.cumsum(c[-1], dtype=np.uint64) for (key, _), c in zip(held, chunks, strict=True)])
+        firsts = [key for key, _ in held]
+        held.clear()
+        other, cols = together(chunks, frequent)
+        doc, keys, n, at, last = np.empty(cols.shape[1], np.uint32), [], 0, 0, None
+        for key, c in zip(firsts, chunks, strict=True):
+            docs = np.uint64(key) + np.cumsum(c.pop(), dtype=np.uint64)
+            new = np.append(docs[0] != last, docs[1:] != docs[:-1])
+            doc[at : at + len(docs)] = np.cumsum(new) + (n - 1)
+            keys.append(docs[new])
+            n, at, last = n + len(keys[-1]), at + len(docs), docs[-1]
         chunks.clear()
-        new = np.append(True, docs[1:] != docs[:-1])
-        doc, keys = np.cumsum(new, dtype=np.uint32) - np.uint32(1), docs[new]
-        del docs, new
         n_words = frequent.n + len(other)
-        order = ordered(u, v, w, n_words)
-        u, v, w = u[order], v[order], w[order]
+        given = [cols, doc]
+        del cols, doc
+        u, v, w, doc = in_order(given, n_words)
         # the documents of each trigram in order
         by = np.cumsum(np.append(False, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])), dtype=np.uint64)
         by <<= np.uint64(32)
-        by |= doc[order]
-        del order
+        by |= doc
+        del doc
         by.sort()
-        return cls(n_words, u, v, w, by.astype(np.uint32), keys)
+        given += [u, v, w, by.astype(np.uint32)]
+        del u, v, w, by
+        return cls(n_words, given, np.concatenate(keys))
 
     def last_words(self) -> np.ndarray:
         """Numbers of the words w, in order: as `counted` has them."""
@@ -313,8 +376,7 @@ class Trigrams:
         n_docs = len(self.keys)
         taken = lambda d, c: d[np.minimum(c, 3)]
         share = lambda some, all_: np.where(all_ > 0, some / np.maximum(all_, 1), 0.0)
-        total_ctx, back_ctx = np.bincount(self.ctx, self.c3), np.bincount(self.ctx, taken(d3, self.c3))
-        total_v, back_v = np.bincount(self.bi_v, self.c2), np.bincount(self.bi_v, taken(d2, self.c2))
+        (total_ctx, back_ctx), (total_v, back_v) = totals(self.ctx, self.c3, d3), totals(self.bi_v, self.c2, d2)
         out = np.zeros(n_docs)
         # what is taken from the counts concerns one document alone, so documents are dealt with in blocks
         by_doc = np.argsort(self.of, kind="stable").astype(np.uint32)
@@ -577,16 +639,22 @@ def _score(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
         frequent = Frequent(words)
         for rows in _groups(batches):
             d3, d2, bigrams, n_words = laws[rows[0]["lang"]]
+            part = rows[0]["part"]
             rows.sort(key=lambda r: r["key"])
-            t = Trigrams.merged([(r["key"], r["words"]) for r in rows if r["key"] >= 0], frequent)
+            held = [(r["key"], r["words"]) for r in rows if r["key"] >= 0]
+            rows[:] = [r for r in rows if r["key"] < 0]
+            t = Trigrams.merged(held, frequent)
             p1 = np.zeros(t.n_words)
             # blocks are numbered backwards from -1
-            p1[t.last_words()] = 0.05 / n_words + 0.95 * np.concatenate([unpack(r["words"])[0] for r in reversed(rows) if r["key"] < 0]) / bigrams
+            p1[t.last_words()] = 0.05 / n_words + 0.95 * np.concatenate([unpack(r["words"])[0] for r in reversed(rows)]) / bigrams
             logs = t.log_probabilities(d3, d2, p1).astype(np.float32).view(np.uint32)
-            task = (t.keys >> np.uint64(32)).astype(np.int64)
+            keys = t.keys
+            # the next group is not to be read beside this one
+            del t, p1
+            task = (keys >> np.uint64(32)).astype(np.int64)
             edges = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
-            doc = (t.keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield _batch([(int(task[a]), rows[0]["part"], pack(steps(doc[a:z]), logs[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)], sent)
+            doc = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            yield _batch([(int(task[a]), part, pack(steps(doc[a:z]), logs[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)], sent)
 
     def add(p: pd.DataFrame) -> pd.DataFrame:
         got = [unpack(raw) for raw in p.sort_values(["part", "sums"])["sums"]]

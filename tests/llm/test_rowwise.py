@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -223,6 +224,39 @@ def test_words_travel_as_short_numbers_and_come_back(monkeypatch):
     assert size["few"] < 0.75 * size["none"]
 
 
+def test_trigrams_are_put_in_order_with_narrow_and_wide_numbers():
+    rnd = np.random.default_rng(2)
+    for n in (50, (1 << 21) - 1, 1 << 21, 1 << 31):
+        cols = rnd.integers(0, n, (3, 3000)).astype(np.uint32)
+        held = [cols.copy(), np.arange(3000, dtype=np.uint32)]
+        u, v, w, at = perplexity.in_order(held, n)
+        assert not held and sorted(at) == list(range(3000)) and (cols[:, at] == [u, v, w]).all()
+        assert list(zip(v, u, w, strict=True)) == sorted(zip(cols[1], cols[0], cols[2], strict=True))
+
+
+def test_trigrams_around_one_word_are_held_once():
+    rnd = np.random.default_rng(3)
+    pool = rnd.integers(1, 1 << 63, 20_000, dtype=np.uint64)
+    texts = [np.append(np.zeros(2, np.uint64), pool[rnd.integers(0, len(pool), 1000)]) for _ in range(1200)]
+    for t in texts:
+        t[3::2] = pool[0]
+    frequent = perplexity.Frequent(pool)
+    part = int(perplexity.part_of(pool[:1], 8)[0])
+    held = [(first, raw) for a in (0, 600) for p, first, raw in perplexity.to_parts(texts[a : a + 600], np.arange(a, a + 600), 8, frequent, part % 2, 2) if p == part]
+    n = sum(len(perplexity.unpack(raw)[1]) for _, raw in held)
+    law = np.array([0, 0.5, 0.75, 0.9])
+    tracemalloc.start()
+    try:
+        t = perplexity.Trigrams.merged(held, frequent)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # four numbers of a trigram and its document take 16 bytes, what is kept of them some 27
+    assert n > 600_000 and len(t.own) > 0.9 * n and most < 60 * n
+    assert np.isfinite(t.log_probabilities(law, law, np.full(t.n_words, 1e-4))).all()
+    assert not held
+
+
 def test_words_in_random_order_are_told_from_prose(spark):
     rnd = random.Random(4)
     after = {w: rnd.sample(range(200), 3) for w in range(200)}
