@@ -444,7 +444,9 @@ def timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN n >= 1099511627776 THEN printf('%.2f TB', n / 1099511627776.0) WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0) ELSE n || ' bytes' END AS size FROM (SELECT c_custkey, c_custkey * c_custkey * c_custkey * 1021 AS n FROM customer)")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("c_custkey") * F.col("c_custkey") * F.col("c_custkey") * 1021
+    # the cubes of larger keys don't fit 64 bits
+    key = F.col("c_custkey").cast("decimal(38,0)")
+    n = key * key * key * F.lit(1021).cast("decimal(38,0)")
     return table(spark, sf_dir, "customer").select("c_custkey", binary.human_size(n).alias("size"))
 
 
