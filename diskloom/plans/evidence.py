@@ -31,9 +31,9 @@ def doc_path(lang: str, source: str, doc_id: int) -> str:
     return f"{lang}/{source}/doc_{doc_id}.txt"
 
 
-def volumes(spark: SparkSession, docs: DataFrame, build: Callable[[list[File]], bytes], tag: str, code: int = 0x83, shards: int | None = None, **options) -> str:
+def volumes(spark: SparkSession, docs: DataFrame, build: Callable[[list[File]], bytes | list[bytes]], tag: str, code: int = 0x83, shards: int | None = None, **options) -> str:
     """A folder of containers, one a shard of documents (doc_id modulo shards), each with one MBR partition."""
-    from diskloom.build.disk import mbr_disk
+    from diskloom.build.disk import mbr_parts
 
     folder = local(scratch_path(spark, tag))
     n = shards or shards_of(docs)
@@ -43,7 +43,8 @@ def volumes(spark: SparkSession, docs: DataFrame, build: Callable[[list[File]],
         rows = rows.sort_values("doc_id")
         made = [File(doc_path(r.lang, r.source, r.doc_id), r.text.encode(), BASE_TIME + 2 * r.doc_id) for r in rows.itertuples()]
         k = int(rows["shard"].iloc[0])
-        written = write(f"{folder}/case-{k:05d}.E01", mbr_disk([(code, build(made))]), header=header_text(f"case-{k}", f"item-{k}", "examiner"), **options)
+        volume = build(made)
+        written = write(f"{folder}/case-{k:05d}.E01", mbr_parts([(code, volume if isinstance(volume, list) else [volume])]), header=header_text(f"case-{k}", f"item-{k}", "examiner"), **options)
         return pd.DataFrame({"path": written})
 
     some = docs.where("text is not null").select("doc_id", "lang", "source", "text", F.pmod("doc_id", F.lit(n)).alias("shard"))

@@ -13,7 +13,7 @@ from diskloom.build.apfs import build_apfs, lzvn_pack
 from diskloom.build.btrfs import build_btrfs
 from diskloom.build.disk import gpt_disk, mbr_disk
 from diskloom.build.ext4 import build_ext4
-from diskloom.build.fat import build_exfat, build_fat
+from diskloom.build.fat import build_exfat, fat_parts
 from diskloom.build.ntfs import build_ntfs
 from diskloom.build.tree import File
 from diskloom.build.xfs import build_xfs
@@ -197,10 +197,10 @@ def fs_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # file systems
 
-BUILDERS: dict[str, tuple[Callable[[list[File]], bytes], int]] = {
-    "fat12": (partial(build_fat, bits=12, per=16), 0x01),
-    "fat16": (partial(build_fat, bits=16, per=8), 0x06),
-    "fat32": (partial(build_fat, bits=32, scatter=True), 0x0C),
+BUILDERS: dict[str, tuple[Callable[[list[File]], bytes | list[bytes]], int]] = {
+    "fat12": (partial(fat_parts, bits=12, per=16), 0x01),
+    "fat16": (partial(fat_parts, bits=16, per=8), 0x06),
+    "fat32": (partial(fat_parts, bits=32, scatter=True), 0x0C),
     "exfat": (build_exfat, 0x07),
     "ntfs": (partial(build_ntfs, fragment=True), 0x07),
     "ext4": (build_ext4, 0x83),

@@ -1,6 +1,14 @@
 """Queries over tables larger than those given: keys beyond them, and what a worker holds."""
 
+import gc
+import tracemalloc
+
 import __spark_entry__
+from diskloom.build.disk import mbr_disk, mbr_parts
+from diskloom.build.fat import build_fat
+from diskloom.build.tree import File
+from diskloom.container.writer import write
+from diskloom.plans.queries import BUILDERS
 
 
 def test_sizes_of_large_keys(spark, tmp_path):
@@ -10,3 +18,35 @@ def test_sizes_of_large_keys(spark, tmp_path):
     units = [(1 << 40, "TB"), (1 << 30, "GB"), (1 << 20, "MB")]
     want = {k: next((f"{k**3 * 1021 / u:.2f} {name}" for u, name in units if k**3 * 1021 >= u), f"{k**3 * 1021} bytes") for k in keys}
     assert got == want
+
+
+def test_volumes_are_not_held_after_they_are_built():
+    """Without the collector of cycles: a worker builds many volumes, and each must go at once."""
+    files = [File(f"de/src{k % 5}/doc_{k}.txt", bytes([k % 256]) * 9000) for k in range(120)]
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for kind, (build, _) in BUILDERS.items():
+            build(files[:40])
+            before = tracemalloc.get_traced_memory()[0]
+            build(files)
+            assert tracemalloc.get_traced_memory()[0] - before < 200_000, kind
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+
+
+def test_a_sparse_volume_is_written_without_a_copy(tmp_path):
+    build, code = BUILDERS["fat32"]
+    files = [File(f"d/f{k}", bytes([k]) * 5000) for k in range(50)]
+    whole = b"".join(build(files))
+    assert whole == build_fat(files, 32, scatter=True) and len(whole) > 33_000_000
+    write(f"{tmp_path}/a.E01", mbr_disk([(code, whole)]))
+    tracemalloc.start()
+    try:
+        write(f"{tmp_path}/b.E01", mbr_parts([(code, build(files))]))
+        assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    finally:
+        tracemalloc.stop()
+    assert open(f"{tmp_path}/a.E01", "rb").read() == open(f"{tmp_path}/b.E01", "rb").read()
