@@ -5,20 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diskloom.scratch import materialize, scratch_path
+from diskloom.scratch import TEXT_ROWS, materialize, scratch_path, text_batches
 
-__all__ = ["HEAVY", "gapless_rank", "materialize", "scratch_path", "spread_join", "table", "text_batches", "utf8_bytes"]
+__all__ = ["HEAVY", "TEXT_ROWS", "gapless_rank", "materialize", "scratch_path", "spread_join", "table", "text_batches", "utf8_bytes"]
 #: A key is heavy if it holds at least one row in HEAVY: so there are never more than HEAVY heavy keys.
 HEAVY = 10_000
-#: Rows that travel to a Python worker at once where each row holds a whole text.
-TEXT_ROWS = 1024
-
-
-def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small in this session: their buffers lie outside the heap and in the workers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:

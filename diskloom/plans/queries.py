@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from diskloom.operators import files as ops
 from diskloom.operators import media, partitions
 from diskloom.partition.tables import LINUX_GUID
 from diskloom.plans.evidence import BASE_TIME, IMAGE_BYTES, images_of, raw_disks, shard_number, shards_of, table, volumes
-from diskloom.scratch import materialize
+from diskloom.scratch import materialize, text_batches
 from diskloom.sources.evidence import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,19 +401,22 @@ def decmpfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {_bytes} AS bytes, md5(text) AS md5 FROM documents WHERE text IS NOT NULL")
 def lzvn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts packed with LZVN and decoded again, as an Arrow function."""
+    """Texts packed with LZVN and decoded again, as one Arrow function that holds few texts at a time."""
     from diskloom.fs.codecs import lzvn as unpack
 
-    @F.pandas_udf("binary")
-    def pack(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: lzvn_pack(t.encode()))
+    text_batches(spark)
 
-    @F.pandas_udf("binary")
-    def decode(packed: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([unpack(p, n) for p, n in zip(packed, size, strict=True)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 32):
+                some = batch.slice(k, 32)
+                sizes = some.column(1).to_pylist()
+                back = [unpack(lzvn_pack(t), n) for t, n in zip(some.column(2).cast(pa.binary()).to_pylist(), sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(back, pa.binary())], names=["doc_id", "bytes", "data"])
 
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), pack("text").alias("packed"))
-    return docs.select("doc_id", "bytes", F.md5(decode("packed", "bytes")).alias("md5"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, bytes long, data binary").select("doc_id", "bytes", F.md5("data").alias("md5"))
 
 
 def _looped(rows: pd.DataFrame) -> bytes:

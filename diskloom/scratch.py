@@ -1,4 +1,4 @@
-"""Scratch tables and images in the folder that the cluster names, and shipping the package to executors."""
+"""Scratch tables and images in the folder that the cluster names, small batches of texts, and shipping the package to executors."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that travel to a Python worker at once where each row holds a whole text.
+TEXT_ROWS = 1024
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -54,6 +56,13 @@ def local(path: str) -> str:
     return path
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small in this session: their buffers lie outside the heap and in the workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application."""
     app = spark.sparkContext.applicationId

@@ -1,6 +1,7 @@
 """Queries over tables larger than those given: keys beyond them, and what a worker holds."""
 
 import gc
+import hashlib
 import tracemalloc
 
 import __spark_entry__
@@ -50,3 +51,15 @@ def test_a_sparse_volume_is_written_without_a_copy(tmp_path):
     finally:
         tracemalloc.stop()
     assert open(f"{tmp_path}/a.E01", "rb").read() == open(f"{tmp_path}/b.E01", "rb").read()
+
+
+def test_lzvn_holds_few_texts(spark, tmp_path):
+    texts = ["", "a" * 3000, "Zoë " * 500, None, *(f"text {k} " * k for k in range(100))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = __spark_entry__.queries()["lzvn"](spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    want = {(k, len(t.encode()), hashlib.md5(t.encode()).hexdigest()) for k, t in enumerate(texts) if t is not None}
+    assert {tuple(r) for r in found.collect()} == want and len(want) == 103
