@@ -54,26 +54,36 @@ def volumes(spark: SparkSession, docs: DataFrame, build: Callable[[list[File]],
 
 def raw_disks(spark: SparkSession, docs: DataFrame, tag: str, shards: int | None = None, **options) -> tuple[str, DataFrame]:
     """Documents laid out sector by sector; returns the folder and where each document lies (image_id, doc_id, lba, n, bytes)."""
+    folder, plan = raw_variants(spark, docs, tag, [("", options)], shards)
+    return folder, plan.drop("variant")
+
+
+def raw_variants(spark: SparkSession, docs: DataFrame, tag: str, variants: list[tuple[str, dict]], shards: int | None = None) -> tuple[str, DataFrame]:
+    """raw_disks for several (name, options) of the writer, each in a folder of its name; the texts are dealt out once. The plan has `variant`."""
     folder = local(scratch_path(spark, tag))
     n = shards or shards_of(docs)
 
     def make(rows: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(folder, exist_ok=True)
         rows = rows.sort_values("doc_id")
-        disk, out = bytearray(), []
+        disk, places = bytearray(), []
         k = int(rows["shard"].iloc[0])
-        path = f"{folder}/case-{k:05d}.E01"
         for r in rows.itertuples():
             data = r.text.encode()
             size = max(1, -(-len(data) // 512))
-            out.append((path, k, int(r.doc_id), len(disk) // 512, size, len(data)))
+            places.append((k, int(r.doc_id), len(disk) // 512, size, len(data)))
             disk += data.ljust(size * 512, b"\0")
-        write(path, bytes(disk), header=header_text(f"case-{k}", f"item-{k}", "examiner"), **options)
-        return pd.DataFrame(out, columns=["image_id", "shard", "doc_id", "lba", "n", "bytes"])
+        out = []
+        for name, options in variants:
+            own = f"{folder}/{name}" if name else folder
+            os.makedirs(own, exist_ok=True)
+            path = f"{own}/case-{k:05d}.E01"
+            write(path, disk, header=header_text(f"case-{k}", f"item-{k}", "examiner"), **options)
+            out += [(name, path, *p) for p in places]
+        return pd.DataFrame(out, columns=["variant", "image_id", "shard", "doc_id", "lba", "n", "bytes"])
 
     some = docs.where("text is not null").select("doc_id", "text", F.pmod("doc_id", F.lit(n)).alias("shard"))
     plan = f"{local(scratch_path(spark, tag))}-plan"
-    schema = "image_id string, shard int, doc_id long, lba long, n long, bytes long"
+    schema = "variant string, image_id string, shard int, doc_id long, lba long, n long, bytes long"
     some.groupBy("shard").applyInPandas(make, schema).write.mode("overwrite").parquet(plan)
     return folder, spark.read.schema(schema).parquet(plan)
 

@@ -22,7 +22,7 @@ from diskloom.functions import binary
 from diskloom.operators import files as ops
 from diskloom.operators import media, partitions
 from diskloom.partition.tables import LINUX_GUID
-from diskloom.plans.evidence import BASE_TIME, IMAGE_BYTES, images_of, raw_disks, shard_number, shards_of, table, volumes
+from diskloom.plans.evidence import BASE_TIME, IMAGE_BYTES, images_of, raw_disks, raw_variants, shard_number, shards_of, table, volumes
 from diskloom.scratch import materialize, text_batches
 from diskloom.sources.evidence import load
 
@@ -64,16 +64,12 @@ VARIANTS = [
 
 @query("SELECT v.variant, count(*) AS docs, sum(" + _bytes + ") AS bytes, sum(hash_low)::BIGINT AS mark FROM (SELECT *, ('0x' || substr(md5(text), 1, 8))::BIGINT AS hash_low FROM documents WHERE text IS NOT NULL) CROSS JOIN (VALUES " + ", ".join(f"('{v}')" for v, _ in VARIANTS) + ") v(variant) GROUP BY v.variant")
 def container_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same documents through every layout of the container."""
-    docs = table(spark, sf_dir, "documents")
-    out = None
-    for name, options in VARIANTS:
-        _, plan = raw_disks(spark, docs, "matrix", **options)
-        got = media.read_ranges(media.in_order(plan, ["image_id", "lba"])).select(F.md5(F.expr("substring(data, 1, cast(bytes as int))")).alias("md5"), "bytes")
-        mark = F.conv(F.substring("md5", 1, 8), 16, 10).cast("long")
-        one = got.agg(F.count("*").alias("docs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(mark), F.lit(0)).alias("mark")).select(F.lit(name).alias("variant"), "docs", "bytes", "mark")
-        out = one if out is None else out.unionByName(one)
-    return out.where("docs > 0")
+    """The same documents through every layout of the container. Their texts are dealt out once for all layouts."""
+    _, plan = raw_variants(spark, table(spark, sf_dir, "documents"), "matrix", VARIANTS)
+    total = plan.agg(F.sum("bytes")).first()[0] or 0
+    got = media.read_ranges(media.in_order(plan.select("variant", "image_id", "lba", "n", "bytes"), ["image_id", "lba"], total))
+    mark = F.conv(F.substring(F.md5(F.expr("substring(data, 1, cast(bytes as int))")), 1, 8), 16, 10).cast("long")
+    return got.groupBy("variant").agg(F.count("*").alias("docs"), F.sum("bytes").alias("bytes"), F.sum(mark).alias("mark"))
 
 
 _sectors = f"SELECT doc_id % {_shards} AS shard, sum(greatest(1, ceil({_bytes} / 512.0)))::BIGINT AS sectors FROM documents WHERE text IS NOT NULL GROUP BY 1"

@@ -9,7 +9,7 @@ from diskloom.build.disk import mbr_disk, mbr_parts
 from diskloom.build.fat import build_fat
 from diskloom.build.tree import File
 from diskloom.container.writer import write
-from diskloom.plans.queries import BUILDERS
+from diskloom.plans.queries import BUILDERS, VARIANTS
 
 
 def test_sizes_of_large_keys(spark, tmp_path):
@@ -63,3 +63,21 @@ def test_lzvn_holds_few_texts(spark, tmp_path):
     assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
     want = {(k, len(t.encode()), hashlib.md5(t.encode()).hexdigest()) for k, t in enumerate(texts) if t is not None}
     assert {tuple(r) for r in found.collect()} == want and len(want) == 103
+
+
+def test_container_matrix_deals_texts_out_once(spark, tmp_path, monkeypatch):
+    texts = ["", None, "Zoë " * 300, *(f"text {k} " * (40 * k) for k in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kind = type(spark.range(1).groupBy("id"))
+    dealt, apply = [], kind.applyInPandas
+    monkeypatch.setattr(kind, "applyInPandas", lambda self, *a: dealt.append(a) or apply(self, *a))
+    got = {tuple(r) for r in __spark_entry__.queries()["container_matrix"](spark, str(tmp_path)).collect()}
+    there = [t.encode() for t in texts if t is not None]
+    mark = sum(int(hashlib.md5(t).hexdigest()[:8], 16) for t in there)
+    assert got == {(name, len(there), sum(map(len, there)), mark) for name, _ in VARIANTS} and len(got) == 10
+    assert len(dealt) == 1
+
+
+def test_container_matrix_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert __spark_entry__.queries()["container_matrix"](spark, str(tmp_path)).collect() == []
