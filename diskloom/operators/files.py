@@ -191,7 +191,10 @@ def resolved(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
-def _pieces(volume: Volume, found: list[dict], start: int, end: int) -> Iterator[bytes]:
+_ZEROS = memoryview(bytes(1 << 20))
+
+
+def _pieces(volume: Volume, found: list[dict], start: int, end: int) -> Iterator[bytes | memoryview]:
     """Bytes start to end of a file from its extents."""
     at = start
     for e in found:
@@ -204,22 +207,22 @@ def _pieces(volume: Volume, found: list[dict], start: int, end: int) -> Iterator
             elif e["kind"] == "inline":
                 yield e["inline"][skip : skip + n]
             else:
-                yield bytes(n)
+                yield _ZEROS[:n]
             first += n
             at = first
     if at < end:
         raise EvidenceError(f"a file is mapped up to {at}, not {end}")
 
 
-def read_slices(rows: DataFrame, hashes: bool = False) -> DataFrame:
-    """rows (files with extents, plus `offset` and `length`) with `data`, or with md5 and sha1 of the slice instead.
+def read_slices(rows: DataFrame, hashes: tuple[str, ...] = ()) -> DataFrame:
+    """rows (files with extents, plus `offset` and `length`) with `data`, or with hashes of the slice (md5, sha1) instead.
 
     Each task opens an image once for the rows that follow each other and keeps its decoded chunks in a bounded cache; only
     the chunks under a slice are decoded. Rows with an error, and directories, fail the query.
     """
     names = rows.columns
     carried = [c for c in names if c not in ("extents",)]
-    added = "md5 string, sha1 string" if hashes else "data binary"
+    added = ", ".join(f"{h} string" for h in hashes) if hashes else "data binary"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in carried) + ", " + added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,16 +245,16 @@ def read_slices(rows: DataFrame, hashes: bool = False) -> DataFrame:
                     else:
                         parts = _pieces(volume, row["extents"], min(row["offset"], end), end)
                     if hashes:
-                        md5, sha1 = hashlib.md5(), hashlib.sha1()
+                        sums = [hashlib.new(h) for h in hashes]
                         for p in parts:
-                            md5.update(p)
-                            sha1.update(p)
-                        out.append((md5.hexdigest(), sha1.hexdigest()))
+                            for s in sums:
+                                s.update(p)
+                        out.append(tuple(s.hexdigest() for s in sums))
                     else:
                         out.append((b"".join(parts),))
-                kinds = (pa.string(), pa.string()) if hashes else (pa.binary(),)
+                kinds = [pa.string()] * len(hashes) or [pa.binary()]
                 new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in carried), *new], names=[*carried, *(["md5", "sha1"] if hashes else ["data"])])
+                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in carried), *new], names=[*carried, *(hashes or ["data"])])
 
     return rows.mapInArrow(run, schema)
 
@@ -297,11 +300,11 @@ def file_ranges(listed: DataFrame, offset: Column, length: Column) -> DataFrame:
     return read_slices(_near(some.withColumn("extents", F.when(F.col("codec") == "", kept).otherwise(F.col("extents")))))
 
 
-def hashes(listed: DataFrame) -> DataFrame:
-    """MD5 and SHA-1 of each file, streamed: no file is held whole."""
+def hashes(listed: DataFrame, kinds: tuple[str, ...] = ("md5", "sha1")) -> DataFrame:
+    """MD5 and SHA-1 of each file, or those asked for, streamed: no file is held whole."""
     some = regular(listed).withColumn("offset", F.lit(0).cast("long")).withColumn("length", F.col("size"))
-    return read_slices(_near(some), hashes=True).drop("offset", "length")
+    return read_slices(_near(some), hashes=kinds).drop("offset", "length")
 
 
 def manifest(listed: DataFrame) -> DataFrame:
-    return hashes(listed).select("image_id", "part", "path", "size", "md5")
+    return hashes(listed, ("md5",)).select("image_id", "part", "path", "size", "md5")

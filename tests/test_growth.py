@@ -6,9 +6,11 @@ import tracemalloc
 
 import __spark_entry__
 from diskloom.build.disk import mbr_disk, mbr_parts
+from diskloom.build.ext4 import build_ext4
 from diskloom.build.fat import build_fat
 from diskloom.build.tree import File
 from diskloom.container.writer import write
+from diskloom.operators import files as ops
 from diskloom.plans.queries import BUILDERS, VARIANTS
 
 
@@ -81,3 +83,20 @@ def test_container_matrix_deals_texts_out_once(spark, tmp_path, monkeypatch):
 def test_container_matrix_of_no_documents(spark, tmp_path):
     spark.createDataFrame([(1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert __spark_entry__.queries()["container_matrix"](spark, str(tmp_path)).collect() == []
+
+
+def test_sparse_files_are_hashed_once(spark, tmp_path):
+    keys = [0, 1, 4094, 4095, 4096, 14_999, 899_999]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    found = __spark_entry__.queries()["sparse_files"](spark, str(tmp_path))
+    assert "sha1" not in found._jdf.queryExecution().executedPlan().toString()
+    data = {k: bytes(8192) + (b"x" * (1 + k % 4096)).ljust(65536 - 8192, b"\0") + b"tail" for k in keys}
+    assert {tuple(r) for r in found.collect()} == {(f"/sparse/f{k}.bin", hashlib.md5(d).hexdigest()) for k, d in data.items()}
+
+
+def test_hashes_of_both_kinds(spark, tmp_path):
+    files = [File("a", b"x" * 5000), File("h", parts=[(8192, b"y")], size=70_000)]
+    write(f"{tmp_path}/a.E01", mbr_disk([(0x83, build_ext4(files))]))
+    got = {r["path"]: (r["md5"], r["sha1"]) for r in ops.hashes(ops.files(ops.nodes(spark, str(tmp_path)), with_extents=True)).collect()}
+    want = {"/a": b"x" * 5000, "/h": bytes(8192) + b"y" + bytes(70_000 - 8193)}
+    assert got == {p: (hashlib.md5(d).hexdigest(), hashlib.sha1(d).hexdigest()) for p, d in want.items()}
